@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from functools import cached_property
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
@@ -10,80 +10,136 @@ from pyspark.sql import Column, DataFrame, functions as F
 from weekcast.operators import backtest as B, evaluate as E, features as X, forecast as Y, moments as M, ridge as R
 
 
-@dataclass
-class Analysis:
-    """Output tables of one run; every field is a lazy DataFrame."""
-
-    bounds: DataFrame
-    features: DataFrame
-    training: DataFrame
-    fits: DataFrame
-    wide: DataFrame
-    backtests: DataFrame
-    summary: DataFrame
-    ablations: DataFrame
-    selection_comparison: DataFrame
-    selected: DataFrame
-    calibration: DataFrame
-    sealed_audit: DataFrame
-    forecasts: DataFrame
-    displayed: DataFrame
-    diagnostics: DataFrame
-
-    def tables(self) -> dict[str, DataFrame]:
-        return {f.name: getattr(self, f.name) for f in fields(self)}
-
-    def release(self) -> None:
-        for frame in self.tables().values():
-            frame.unpersist()
-
-
 def _keep(df: DataFrame) -> DataFrame:
     """Reused several times below; lost blocks are recomputed from lineage."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def run_analysis(panel: DataFrame, with_ridge: bool = True) -> Analysis:
-    """Walk forward, select on early validation, score the sealed test and forecast at the last week.
+class Analysis:
+    """Tables of one run. Each is planned on first access and computed by Spark on use.
 
+    Walk forward, select on early validation, score the sealed test and forecast at the last week.
     ``panel`` is gap-filled and has ingredient_id, family_id, week_end, searches, rank, google_trend
     and amazon_provider. ``with_ridge=False`` evaluates the two baselines only.
     """
-    bounds = B.panel_bounds(panel)
-    features = _keep(X.weekly_features(panel))
-    samples = X.samples(features)
-    origins = B.evaluation_origins(bounds)
-    wanted = (
-        origins.select(F.lit("backtest").alias("scope"), "origin")
-        .unionByName(bounds.select(F.lit("deploy").alias("scope"), F.col("as_of").alias("origin")))
-    )
-    training = M.training_sets(samples, wanted)
-    fits = _keep(R.fit_ridge(training)) if with_ridge else R.fit_ridge(training.limit(0))
-    wide = _keep(B.walk_forward(samples, origins, fits) if with_ridge else B.naive_walk_forward(samples, origins))
-    long = B.to_long(wide)
-    comparison = E.selection_comparison(wide)
-    selected = E.select_models(comparison)
-    calibrated = E.calibration(long)
-    backtests = E.with_intervals(long, calibrated)
-    audit = E.sealed_audit(wide, selected)
-    return Analysis(
-        bounds=bounds,
-        features=features,
-        training=training,
-        fits=fits,
-        wide=wide,
-        backtests=backtests,
-        summary=E.metric_summary(backtests),
-        ablations=E.ablations(wide),
-        selection_comparison=comparison,
-        selected=selected,
-        calibration=calibrated,
-        sealed_audit=audit,
-        forecasts=Y.decision_flags(Y.forecasts(panel, features, bounds, fits, selected, calibrated), audit),
-        displayed=Y.displayed_backtests(wide, selected),
-        diagnostics=Y.ingredient_diagnostics(panel, features, bounds),
+
+    TABLES = (
+        "training_audit",
+        "fits",
+        "backtests",
+        "summary",
+        "ablations",
+        "selection_comparison",
+        "selected",
+        "calibration",
+        "sealed_audit",
+        "forecasts",
+        "displayed",
+        "diagnostics",
     )
 
+    def __init__(self, panel: DataFrame, with_ridge: bool = True):
+        self.panel = panel
+        self.with_ridge = with_ridge
+
+    @cached_property
+    def bounds(self) -> DataFrame:
+        return B.panel_bounds(self.panel)
+
+    @cached_property
+    def features(self) -> DataFrame:
+        return _keep(X.weekly_features(self.panel))
+
+    @cached_property
+    def samples(self) -> DataFrame:
+        return X.samples(self.features)
+
+    @cached_property
+    def origins(self) -> DataFrame:
+        return B.evaluation_origins(self.bounds)
+
+    @cached_property
+    def training(self) -> DataFrame:
+        deploy = self.bounds.select(F.lit("deploy").alias("scope"), F.col("as_of").alias("origin"))
+        wanted = self.origins.select(F.lit("backtest").alias("scope"), "origin").unionByName(deploy)
+        return M.training_sets(self.samples, wanted)
+
+    @cached_property
+    def training_audit(self) -> DataFrame:
+        return M.training_audit(self.training)
+
+    @cached_property
+    def fits(self) -> DataFrame:
+        if not self.with_ridge:
+            return self.panel.sparkSession.createDataFrame([], R.FIT_SCHEMA)
+        return _keep(R.fit_ridge(self.training))
+
+    @cached_property
+    def wide(self) -> DataFrame:
+        if not self.with_ridge:
+            return _keep(B.naive_walk_forward(self.samples, self.origins))
+        return _keep(B.walk_forward(self.samples, self.origins, self.fits))
 
-def warnings(panel: DataFrame, analysis: Analysis, report_as_of: Column) -> DataFrame:
-    return Y.analysis_warnings(panel, analysis.wide, analysis.sealed_audit, report_as_of)
+    @cached_property
+    def long(self) -> DataFrame:
+        return B.to_long(self.wide)
+
+    @cached_property
+    def selection_comparison(self) -> DataFrame:
+        return E.selection_comparison(self.wide)
+
+    @cached_property
+    def selected(self) -> DataFrame:
+        return E.select_models(self.selection_comparison)
+
+    @cached_property
+    def calibration(self) -> DataFrame:
+        return E.calibration(self.long)
+
+    @cached_property
+    def backtests(self) -> DataFrame:
+        return E.with_intervals(self.long, self.calibration)
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        return E.metric_summary(self.backtests)
+
+    @cached_property
+    def ablations(self) -> DataFrame:
+        return E.ablations(self.wide)
+
+    @cached_property
+    def sealed_audit(self) -> DataFrame:
+        return E.sealed_audit(self.wide, self.selected)
+
+    @cached_property
+    def plain_forecasts(self) -> DataFrame:
+        return Y.forecasts(self.panel, self.features, self.bounds, self.fits, self.selected, self.calibration)
+
+    @cached_property
+    def forecasts(self) -> DataFrame:
+        return Y.decision_flags(self.plain_forecasts, self.sealed_audit)
+
+    @cached_property
+    def displayed(self) -> DataFrame:
+        return Y.displayed_backtests(self.wide, self.selected)
+
+    @cached_property
+    def diagnostics(self) -> DataFrame:
+        return Y.ingredient_diagnostics(self.panel, self.features, self.bounds)
+
+    def warnings(self, report_as_of: Column) -> DataFrame:
+        return Y.analysis_warnings(self.panel, self.wide, self.sealed_audit, report_as_of)
+
+    def tables(self) -> dict[str, DataFrame]:
+        return {name: getattr(self, name) for name in self.TABLES}
+
+    def release(self) -> None:
+        """Drop what was kept for reuse."""
+        for name in ("features", "fits", "wide"):
+            if name in self.__dict__:
+                self.__dict__[name].unpersist()
+
+
+def run_analysis(panel: DataFrame, with_ridge: bool = True) -> Analysis:
+    return Analysis(panel, with_ridge)

@@ -9,7 +9,7 @@ from weekcast.functions.dates import on_grid
 from weekcast.functions.hashing import is_heldout
 from weekcast.operators import backtest as B, features as X, forecast as Y, moments as M, panel as P
 from weekcast.plans import sql as S, testbed as T
-from weekcast.plans.analysis import run_analysis, warnings
+from weekcast.plans.analysis import run_analysis
 from weekcast.plans.registry import plain, query
 
 PANEL_COLUMNS = ["ingredient_id", "week_end", "searches", "rank", "google_trend"]
@@ -181,28 +181,27 @@ labels AS ({labels}),
 models(model, needs_google, needs_rank) AS (VALUES ('ridge_amazon', false, false), ('ridge_google', true, false),
   ('ridge_aba', false, true), ('ridge_all', true, true)),
 wanted AS (SELECT 'backtest' AS scope, origin FROM origins_a UNION ALL SELECT 'deploy', as_of FROM bounds_a),
-train AS (SELECT w.scope, l.horizon_weeks, m.model, w.origin AS at, l.* EXCLUDE (horizon_weeks)
+train AS (SELECT w.scope, l.horizon_weeks, m.model, w.origin AS fit_origin, l.* EXCLUDE (horizon_weeks)
   FROM wanted w JOIN labels l ON l.target_end <= w.origin AND (w.scope = 'deploy' OR NOT l.heldout)
   JOIN models m ON (l.google_available OR NOT m.needs_google) AND (l.rank_available OR NOT m.needs_rank))
 {select}"""
 
 
+def full(spark, folder):
+    return run_analysis(T.panel_a(spark, folder))
+
+
 def _training(spark, folder):
-    panel = T.panel_a(spark, folder)
-    bounds = B.panel_bounds(panel)
-    wanted = B.evaluation_origins(bounds).select(F.lit("backtest").alias("scope"), "origin").unionByName(
-        bounds.select(F.lit("deploy").alias("scope"), F.col("as_of").alias("origin"))
-    )
-    return M.training_sets(X.samples(X.weekly_features(panel)), wanted)
+    return full(spark, folder).training
 
 
 @query(
     "train_moments",
-    plain(_train_sql("""SELECT scope, horizon_weeks, model, at AS origin, count(*) AS n_rows, sum(y) AS sum_y,
+    plain(_train_sql("""SELECT scope, horizon_weeks, model, fit_origin AS origin, count(*) AS n_rows, sum(y) AS sum_y,
       sum(level_log - 8) AS sum_level, sum((level_log - 8) * (level_log - 8)) AS sum_level_sq,
       sum((level_log - 8) * volatility) AS sum_level_volatility, sum((level_log - 8) * y) AS sum_level_y,
       sum(CASE WHEN model IN ('ridge_aba', 'ridge_all') THEN volatility * (rank_log + 6) END) AS sum_volatility_rank
-      FROM train GROUP BY ALL"""), ("origin",),
+      FROM train GROUP BY scope, horizon_weeks, model, fit_origin"""), ("origin",),
           ("sum_y", "sum_level", "sum_level_sq", "sum_level_volatility", "sum_level_y", "sum_volatility_rank")),
 )
 def train_moments(spark, folder):
@@ -228,8 +227,8 @@ def train_moments(spark, folder):
 
 @query(
     "train_gates",
-    plain(_train_sql("""SELECT scope, horizon_weeks, model, at AS origin, count(*) AS n_rows, count(DISTINCT family_id) AS n_families,
-      count(DISTINCT origin) AS n_origins, max(target_end) AS max_label_end FROM train GROUP BY ALL"""), ("origin", "max_label_end")),
+    plain(_train_sql("""SELECT scope, horizon_weeks, model, fit_origin AS origin, count(*) AS n_rows, count(DISTINCT family_id) AS n_families,
+      count(DISTINCT origin) AS n_origins, max(target_end) AS max_label_end FROM train GROUP BY scope, horizon_weeks, model, fit_origin"""), ("origin", "max_label_end")),
 )
 def train_gates(spark, folder):
     """Rows, families, origins and last label of every fit."""
@@ -301,7 +300,8 @@ picked AS (SELECT z.horizon_weeks, coalesce(arg_min(c.model, c.wape), 'last13mea
   z.n_cases, z.case_origins AS n_origins, z.baseline_wape, coalesce(min(c.wape), z.baseline_wape) AS selected_wape,
   CASE WHEN count(c.model) > 0 THEN 'validation_improvement' ELSE 'conservative_baseline' END AS reason
   FROM size z LEFT JOIN compared c ON c.horizon_weeks = z.horizon_weeks AND c.eligible_for_selection AND c.model <> 'last13mean'
-    AND c.wape < z.baseline_wape AND c.wape <= 0.95::DOUBLE * z.baseline_wape GROUP BY ALL)"""
+    AND c.wape < z.baseline_wape AND c.wape <= 0.95::DOUBLE * z.baseline_wape
+  GROUP BY z.horizon_weeks, z.n_cases, z.case_origins, z.baseline_wape)"""
 
 
 @query("selection_comparison", plain(f"{S.base('a', 'cases')}, {_SCORED_SQL} SELECT * FROM compared", (), ("coverage", "baseline_wape", "mae", "wape", "rmse", "direction_accuracy")))
@@ -386,7 +386,7 @@ def displayed_backtests(spark, folder):
 )
 def forecast_naive(spark, folder):
     """Forecast rows with status, interval and fallback reason."""
-    return naive(spark, folder).forecasts.drop("has_proven_gain")
+    return naive(spark, folder).plain_forecasts
 
 
 @query(
@@ -403,11 +403,7 @@ def ingredient_diagnostics(spark, folder):
     return naive(spark, folder).diagnostics
 
 
-# --- all six models: checked against numpy in the tests, rows-only here -----------------------------
-def full(spark, folder):
-    return run_analysis(T.panel_a(spark, folder))
-
-
+# --- all six models: checked against numpy in the tests, rows-only here ---
 @query("ridge_fits")
 def ridge_fits(spark, folder):
     """M5, K6: fitted parameters of every walk-forward and deployment fit."""
@@ -452,5 +448,4 @@ def deploy_forecast(spark, folder):
 @query("analysis_warnings")
 def analysis_warnings(spark, folder):
     """Warning codes of the run, reported 30 days after the cut."""
-    panel = T.panel_a(spark, folder)
-    return warnings(panel, run_analysis(panel), F.date_add(F.lit(T.AS_OF), 30))
+    return full(spark, folder).warnings(F.date_add(F.lit(T.AS_OF), 30))
