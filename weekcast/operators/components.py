@@ -22,7 +22,7 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node hands its larger neighbours to the smallest node around it."""
     around = _both_ways(edges)
-    least = around.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"))
+    least = around.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
     larger = around.filter("v > u")
     return spread_join(larger, least, ["u"], "inner").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 

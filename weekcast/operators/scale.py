@@ -13,14 +13,29 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from weekcast.session import shared_folder
 
 SMALL_GROUP = 100_000
+HOT_ROWS = 1_000_000
 
 
-def spread_join(facts: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left", salts: int = 16) -> DataFrame:
-    """Join many rows per key to one row per key, with every key spread over ``salts`` tasks."""
-    salted = facts.withColumn(
-        "_salt", F.pmod(F.xxhash64(*[F.col(c) for c in facts.columns]), F.lit(salts)).cast("int")
+def spread_join(
+    facts: DataFrame,
+    lookup: DataFrame,
+    on: Sequence[str],
+    how: str = "left",
+    salts: int = 32,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Join many rows per key to one row per key; a key with over ``hot_rows`` rows is many tasks.
+
+    Only hot keys are salted, and only their lookup rows are copied. The list of hot keys is
+    broadcast: it has at most (rows of ``facts``) / ``hot_rows`` entries.
+    """
+    hot = F.broadcast(
+        facts.groupBy(*on).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows).select(*on, F.lit(True).alias("_hot"))
     )
-    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    spot = F.pmod(F.xxhash64(*[F.col(c) for c in facts.columns]), F.lit(salts)).cast("int")
+    salted = facts.join(hot, list(on), "left").withColumn("_salt", F.when(F.col("_hot"), spot).otherwise(0)).drop("_hot")
+    places = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    copies = lookup.join(hot, list(on), "left").withColumn("_salt", F.explode(places)).drop("_hot")
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from weekcast.plans import queries_forecast, queries_ingest  # noqa: F401
+from weekcast.plans import queries_forecast, queries_ingest, queries_ops  # noqa: F401
 from weekcast.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
