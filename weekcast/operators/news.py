@@ -38,7 +38,7 @@ def _has_blank(values: Column) -> Column:
 
 def _clean_list(values: Column) -> Column:
     """Trimmed, distinct, first-seen order."""
-    return F.array_distinct(F.transform(F.coalesce(values, F.array().cast("array<string>")), F.trim))
+    return F.array_distinct(F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.trim(v)))
 
 
 def normalize_items(items: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ class Analysis:
     )
 
     def __init__(self, panel: DataFrame, with_ridge: bool = True):
-        self.panel = panel
+        self.panel = _keep(panel)
         self.with_ridge = with_ridge
 
     @cached_property
@@ -136,7 +136,7 @@ class Analysis:
 
     def release(self) -> None:
         """Drop what was kept for reuse."""
-        for name in ("features", "fits", "wide"):
+        for name in ("panel", "features", "fits", "wide"):
             if name in self.__dict__:
                 self.__dict__[name].unpersist()
 

@@ -1,6 +1,12 @@
 """All registered queries."""
 
-from weekcast.plans import queries_forecast, queries_ingest, queries_ops  # noqa: F401
+from weekcast.plans import (  # noqa: F401
+    queries_compare,
+    queries_forecast,
+    queries_ingest,
+    queries_news,
+    queries_ops,
+)
 from weekcast.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
