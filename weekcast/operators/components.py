@@ -2,15 +2,15 @@
 
 Kiveris et al., "Connected Components in MapReduce and Beyond" (SoCC 2014). Each round is a
 map-side-combined minimum per node and a salted join, so a node with very many neighbours is spread
-over tasks. Rounds are checkpointed in the shared folder; their number grows with log of the size.
+over tasks. Rounds are written to the shared folder; their number grows with log of the size.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from weekcast.operators.scale import spread_join
-from weekcast.session import shared_folder
+from weekcast.session import stage
 
 MAX_ROUNDS = 60
 
@@ -22,40 +22,42 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node hands its larger neighbours to the smallest node around it."""
     around = _both_ways(edges)
-    least = around.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    least = around.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n")).withColumn("m", F.least("u", "m"))
     larger = around.filter("v > u")
-    return spread_join(larger, least, ["u"], "inner").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    moved = spread_join(larger, least.select("u", "m"), ["u"], "inner", counts=least)
+    return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node links its smaller neighbours, and itself, to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v")
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = spread_join(down, least, ["u"], "inner").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n"))
+    moved = spread_join(down, least.select("u", "m"), ["u"], "inner", counts=least)
     own = least.select("u", F.col("m").alias("v"))
-    return moved.unionByName(own).filter("u <> v").distinct()
+    return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(own).filter("u <> v").distinct()
 
 
-def _signature(edges: DataFrame) -> tuple:
-    row = edges.agg(
-        F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")
-    ).first()
-    return row["n"], row["h"]
+def _stage(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """Written edges, and their count and hash sum taken while writing."""
+    seen = Observation()
+    watched = edges.observe(
+        seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")
+    )
+    staged = stage(watched, "components")
+    return staged, (seen.get["n"], seen.get["h"])
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (columns u, v); component is the least node."""
-    shared_folder(edges.sparkSession)
-    nodes = _both_ways(edges).select("u").distinct().checkpoint()
-    links = edges.filter("u <> v").select("u", "v").distinct().checkpoint()
-    before = _signature(links)
+    given = stage(edges.select("u", "v").distinct(), "edges")
+    links, before = _stage(given.filter("u <> v"))
     for _ in range(MAX_ROUNDS):
-        links = _small_star(_large_star(links)).checkpoint()
-        after = _signature(links)
+        links, after = _stage(_small_star(_large_star(links)))
         if after == before:
             break
         before = after
     else:
         raise RuntimeError("connected components did not settle")
     # Every edge now leads from a node to the least node of its component.
+    nodes = _both_ways(given).select("u").distinct()
     return nodes.join(links, "u", "left").select(F.col("u").alias("node"), F.coalesce("v", "u").alias("component"))

@@ -23,15 +23,17 @@ def spread_join(
     how: str = "left",
     salts: int = 32,
     hot_rows: int = HOT_ROWS,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Join many rows per key to one row per key; a key with over ``hot_rows`` rows is many tasks.
 
     Only hot keys are salted, and only their lookup rows are copied. The list of hot keys is
-    broadcast: it has at most (rows of ``facts``) / ``hot_rows`` entries.
+    broadcast: it has at most (rows of ``facts``) / ``hot_rows`` entries. ``counts`` (``on``, ``_n``)
+    may give the number of rows per key where it is known already.
     """
-    hot = F.broadcast(
-        facts.groupBy(*on).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows).select(*on, F.lit(True).alias("_hot"))
-    )
+    if counts is None:
+        counts = facts.groupBy(*on).agg(F.count("*").alias("_n"))
+    hot = F.broadcast(counts.filter(F.col("_n") > hot_rows).select(*on, F.lit(True).alias("_hot")))
     spot = F.pmod(F.xxhash64(*[F.col(c) for c in facts.columns]), F.lit(salts)).cast("int")
     salted = facts.join(hot, list(on), "left").withColumn("_salt", F.when(F.col("_hot"), spot).otherwise(0)).drop("_hot")
     places = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))

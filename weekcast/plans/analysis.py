@@ -4,21 +4,18 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
+from weekcast.functions.dates import on_grid
 from weekcast.operators import backtest as B, evaluate as E, features as X, forecast as Y, moments as M, ridge as R
-
-
-def _keep(df: DataFrame) -> DataFrame:
-    """Reused several times below; lost blocks are recomputed from lineage."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+from weekcast.session import stage
 
 
 class Analysis:
-    """Tables of one run. Each is planned on first access and computed by Spark on use.
+    """Tables of one run, each built on first access.
 
-    Walk forward, select on early validation, score the sealed test and forecast at the last week.
+    Tables that several others read (panel, features, fits, cases, selection, calibration) are staged
+    in the shared folder, so the source is scanned once and plans stay small. Walk forward, select on early validation, score the sealed test and forecast at the last week.
     ``panel`` is gap-filled and has ingredient_id, family_id, week_end, searches, rank, google_trend
     and amazon_provider. ``with_ridge=False`` evaluates the two baselines only.
     """
@@ -39,16 +36,23 @@ class Analysis:
     )
 
     def __init__(self, panel: DataFrame, with_ridge: bool = True):
-        self.panel = _keep(panel)
+        self.source = panel
         self.with_ridge = with_ridge
 
+    @cached_property
+    def panel(self) -> DataFrame:
+        return stage(self.source, "panel")
+
     @cached_property
     def bounds(self) -> DataFrame:
-        return B.panel_bounds(self.panel)
+        return stage(B.panel_bounds(self.panel), "bounds")
 
     @cached_property
     def features(self) -> DataFrame:
-        return _keep(X.weekly_features(self.panel))
+        """Weekly features where a later step looks: eligible rows on the grid, and the as-of week."""
+        as_of = self.bounds.select("as_of").scalar()
+        needed = (F.col("eligible") & on_grid(F.col("origin"))) | (F.col("origin") == as_of)
+        return stage(X.weekly_features(self.panel).filter(needed), "features")
 
     @cached_property
     def samples(self) -> DataFrame:
@@ -72,13 +76,13 @@ class Analysis:
     def fits(self) -> DataFrame:
         if not self.with_ridge:
             return self.panel.sparkSession.createDataFrame([], R.FIT_SCHEMA)
-        return _keep(R.fit_ridge(self.training))
+        return stage(R.fit_ridge(self.training), "fits")
 
     @cached_property
     def wide(self) -> DataFrame:
         if not self.with_ridge:
-            return _keep(B.naive_walk_forward(self.samples, self.origins))
-        return _keep(B.walk_forward(self.samples, self.origins, self.fits))
+            return stage(B.naive_walk_forward(self.samples, self.origins), "cases")
+        return stage(B.walk_forward(self.samples, self.origins, self.fits), "cases")
 
     @cached_property
     def long(self) -> DataFrame:
@@ -86,7 +90,7 @@ class Analysis:
 
     @cached_property
     def selection_comparison(self) -> DataFrame:
-        return E.selection_comparison(self.wide)
+        return stage(E.selection_comparison(self.wide), "selection")
 
     @cached_property
     def selected(self) -> DataFrame:
@@ -94,7 +98,7 @@ class Analysis:
 
     @cached_property
     def calibration(self) -> DataFrame:
-        return E.calibration(self.long)
+        return stage(E.calibration(self.long), "calibration")
 
     @cached_property
     def backtests(self) -> DataFrame:
@@ -134,12 +138,6 @@ class Analysis:
     def tables(self) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in self.TABLES}
 
-    def release(self) -> None:
-        """Drop what was kept for reuse."""
-        for name in ("panel", "features", "fits", "wide"):
-            if name in self.__dict__:
-                self.__dict__[name].unpersist()
-
 
 def run_analysis(panel: DataFrame, with_ridge: bool = True) -> Analysis:
     return Analysis(panel, with_ridge)

@@ -5,12 +5,12 @@ from __future__ import annotations
 import datetime as dt
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from weekcast.constants import MARKETPLACE, VENDOR_A, VENDOR_B
 from weekcast.operators import panel as P
 from weekcast.operators.histories import history_problem
+from weekcast.session import stage
 from weekcast.sources.envelopes import candidates, latest_valid, query_term, trend_problem
 
 
@@ -29,14 +29,12 @@ class Dataset:
     def amazon(self) -> DataFrame:
         """Chosen Amazon envelope per ingredient with ``problem``."""
         best = latest_valid(candidates(self.raw, self.catalog, "amazon", self.provider), self.cut)
-        return best.withColumn("problem", history_problem(F.col("history"), self.cut)).persist(
-            StorageLevel.MEMORY_AND_DISK
-        )
+        return stage(best.withColumn("problem", history_problem(F.col("history"), self.cut)), "amazon")
 
     @cached_property
     def trends(self) -> DataFrame:
         best = latest_valid(candidates(self.raw, self.catalog, "google", VENDOR_A), self.cut)
-        return best.withColumn("problem", trend_problem(F.col("items"), self.cut)).persist(StorageLevel.MEMORY_AND_DISK)
+        return stage(best.withColumn("problem", trend_problem(F.col("items"), self.cut)), "trends")
 
     @cached_property
     def weekly_raw(self) -> DataFrame:
