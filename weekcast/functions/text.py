@@ -48,18 +48,18 @@ def canonical_url(url: Column) -> Column:
     Only http(s) links with a host and without credentials or control characters pass.
     Queries are decoded, sorted by (name, value) and encoded again, so equal links compare equal.
     """
-    clean = F.trim(url)
-    scheme = F.lower(F.regexp_extract(clean, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
-    netloc = F.lower(F.regexp_extract(clean, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
-    path = F.regexp_extract(clean, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    query = F.regexp_extract(clean, r"^[^?#]*\?([^#]*)", 1)
+    clean = F.substring_index(F.trim(url), "#", 1)
+    before = F.substring_index(clean, "?", 1)
+    scheme = F.lower(F.substring_index(before, "://", 1))
+    rest = F.substr(before, F.length(scheme) + 4)
+    netloc = F.lower(F.substring_index(rest, "/", 1))
+    path = F.substr(rest, F.length(netloc) + 1)
+    query = F.substr(clean, F.length(before) + 2)
 
     def pair(part: Column) -> Column:
-        name = _form_decode(F.substring_index(part, "=", 1))
-        value = F.when(
-            F.instr(part, "=") > 0, _form_decode(F.regexp_replace(part, "^[^=]*=", ""))
-        ).otherwise(F.lit(""))
-        return F.struct(name.alias("name"), value.alias("value"))
+        name = F.substring_index(part, "=", 1)
+        value = F.substr(part, F.length(name) + 2)
+        return F.struct(_form_decode(name).alias("name"), _form_decode(value).alias("value"))
 
     def keep(item: Column) -> Column:
         name = F.lower(item["name"])
@@ -71,13 +71,14 @@ def canonical_url(url: Column) -> Column:
         F.transform(pairs, lambda p: F.concat(_form_encode(p["name"]), F.lit("="), _form_encode(p["value"]))),
         "&",
     )
-    stem = F.rtrim(path, F.lit("/"))
+    host = F.substring_index(netloc, "@", -1)
     acceptable = (
         url.isNotNull()
-        & ~url.rlike(r"[\x00-\x1f]")
         & scheme.isin("http", "https")
-        & ~netloc.rlike(r"[^:@].*@")
-        & (F.regexp_extract(netloc, r"^(?:.*@)?(\[[^\]]*\]|[^:@]*)", 1) != "")
+        & ~url.rlike(r"[\x00-\x1f]")
+        & ~(F.contains(netloc, F.lit("@")) & netloc.rlike(r"[^:@].*@"))
+        & (host != "")
+        & ~host.startswith(":")
     )
     return F.when(
         acceptable,
@@ -85,8 +86,8 @@ def canonical_url(url: Column) -> Column:
             scheme,
             F.lit("://"),
             netloc,
-            F.when(stem == "", F.lit("/")).otherwise(stem),
-            F.when(encoded == "", F.lit("")).otherwise(F.concat(F.lit("?"), encoded)),
+            F.coalesce(F.nullif(F.rtrim(path, F.lit("/")), F.lit("")), F.lit("/")),
+            F.when(query == "", F.lit("")).otherwise(F.rtrim(F.concat(F.lit("?"), encoded), F.lit("?"))),
         ),
     )
 

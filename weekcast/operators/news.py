@@ -15,6 +15,7 @@ from weekcast.functions.dates import strict_date, window_start
 from weekcast.functions.text import canonical_url, folded, safe_url
 from weekcast.operators.components import connected_components
 from weekcast.operators.scale import spread_join
+from weekcast.session import stage
 
 RELATED = "array<struct<title:string,url:string,source:string,published_at:string,evidence:string,source_kind:string>>"
 ITEM = (
@@ -239,11 +240,11 @@ def lead_related(items: DataFrame, components: DataFrame, leads: DataFrame) -> D
 
 
 class Digest:
-    """News digest of a day: routed items, leads and coverage, all lazy except the components."""
+    """News digest of a day: routed items, leads and coverage. Records are validated once and staged."""
 
     def __init__(self, items: DataFrame, as_of: Column, catalog: DataFrame | None = None, regions: Sequence[str] = tuple(REGIONS), months: int = NEWS_MONTHS):
         self.raw = items
-        normal = normalize_items(items)
+        normal = stage(normalize_items(items), "news")
         good = normal.filter("error is null")
         self.links = associate(good, catalog) if catalog is not None else good.select(
             "item_key", F.explode("ingredient_ids").alias("ingredient_id")
@@ -252,7 +253,7 @@ class Digest:
 
     def side(self, route: str) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(items, components, leads) of ``current`` or ``background`` items."""
-        items = self.routed.filter(F.col("route") == route)
+        items = stage(self.routed.filter(F.col("route") == route), route)
         components = item_components(items)
         return items, components, lead_items(items, components)
 
@@ -284,7 +285,7 @@ def merge_store(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
 def import_news(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Validated merge; a single invalid record refuses the whole import."""
-    fresh, kept = normalize_items(incoming), normalize_items(existing)
+    fresh, kept = stage(normalize_items(incoming), "incoming"), stage(normalize_items(existing), "existing")
     bad = fresh.unionByName(kept).filter("error is not null").select("item_key", "error").first()
     if bad is not None:
         raise ValueError(f"news record {bad['item_key']}: {bad['error']}")

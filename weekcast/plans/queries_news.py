@@ -12,6 +12,7 @@ from weekcast.functions.text import canonical_url, slug
 from weekcast.operators import news as W
 from weekcast.plans import testbed as T
 from weekcast.plans.registry import plain, query
+from weekcast.session import stage
 
 NEWS_AS_OF = dt.date(2001, 5, 31)
 CUT = "DATE '2001-05-31'"
@@ -161,7 +162,7 @@ def news_routes(spark, folder):
 @query("news_components", f"WITH RECURSIVE {_ITEMS_SQL}, {_GOOD}, {_components_sql('good')} SELECT item_key, component FROM labelled")
 def news_components(spark, folder):
     """Items joined through shared links or events, over any number of steps."""
-    good = W.normalize_items(items(spark, folder)).filter("error is null")
+    good = stage(W.normalize_items(items(spark, folder)), "news").filter("error is null")
     return W.item_components(good)
 
 
@@ -219,7 +220,7 @@ def news_coverage(spark, folder):
 )
 def news_upsert(spark, folder):
     """Store keyed by canonical link, incoming records win."""
-    good = W.normalize_items(items(spark, folder)).filter("error is null")
+    good = stage(W.normalize_items(items(spark, folder)), "news").filter("error is null")
     first = F.col("evidence") == "verified_primary"
     return W.merge_store(good.filter(first), good.filter(~first)).select("url", "id")
 

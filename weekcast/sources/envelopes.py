@@ -51,12 +51,21 @@ def _spot(ingredient: Column, kind: Column, priority: int) -> Column:
     return F.struct(ingredient.alias("ingredient_id"), kind.alias("kind"), F.lit(priority).alias("priority"))
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def read_raw(spark: SparkSession, root: str) -> DataFrame:
-    """All JSON files below ``root``/data/raw as (path, text)."""
+    """All JSON files below ``root``/data/raw as (path, text).
+
+    Spark's scan passes over folders that start with an underscore, so the migration folder is named.
+    """
+    raw = f"{root.rstrip('/')}/data/raw"
+    migrated = f"{raw}/US/_sif_envelopes_all"
+    places = [raw, *([migrated] if _exists(spark, migrated) else [])]
     files = (
-        spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.json")
-        .text(f"{root.rstrip('/')}/data/raw", wholetext=True)
+        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(places, wholetext=True)
     )
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
