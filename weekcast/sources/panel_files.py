@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from weekcast.constants import MARKETPLACE, VENDOR_A
 from weekcast.operators.panel import clean_measures
 from weekcast.operators.validate import require_valid
+from weekcast.session import stage
 
 CSV_COLUMNS = (
     "ingredient_id",
@@ -40,8 +41,9 @@ def prepare(panel: DataFrame, provider: str = VENDOR_A) -> DataFrame:
 
 
 def read_panel_csv(spark: SparkSession, path: str, provider: str = VENDOR_A) -> DataFrame:
-    """CSV with a header in any column order; values are read as text and then typed."""
-    return require_valid(prepare(spark.read.option("header", "true").csv(path), provider))
+    """CSV with a header in any column order; read as text, typed and staged once, then validated."""
+    typed = prepare(spark.read.option("header", "true").csv(path), provider)
+    return require_valid(stage(typed, "panel-csv"))
 
 
 def read_panel(spark: SparkSession, path: str, provider: str | None = None, as_of: str | None = None) -> DataFrame:
