@@ -42,19 +42,13 @@ def _form_encode(text: Column) -> Column:
     return F.replace(F.replace(F.url_encode(text), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
 
 
-def canonical_url(url: Column) -> Column:
-    """Web link without fragment and tracking parameters, query sorted; NULL if not acceptable.
+def bind(value: Column, body) -> Column:
+    """``body`` applied to ``value`` evaluated once (a one-element transform), not once per mention."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    Only http(s) links with a host and without credentials or control characters pass.
-    Queries are decoded, sorted by (name, value) and encoded again, so equal links compare equal.
-    """
-    clean = F.substring_index(F.trim(url), "#", 1)
-    before = F.substring_index(clean, "?", 1)
-    scheme = F.lower(F.substring_index(before, "://", 1))
-    rest = F.substr(before, F.length(scheme) + 4)
-    netloc = F.lower(F.substring_index(rest, "/", 1))
-    path = F.substr(rest, F.length(netloc) + 1)
-    query = F.substr(clean, F.length(before) + 2)
+
+def _sorted_query(query: Column) -> Column:
+    """Query pairs decoded, without tracking ones, sorted and encoded again."""
 
     def pair(part: Column) -> Column:
         name = F.substring_index(part, "=", 1)
@@ -67,29 +61,53 @@ def canonical_url(url: Column) -> Column:
 
     parts = F.filter(F.split(query, "&"), lambda part: part != "")
     pairs = F.array_sort(F.filter(F.transform(parts, pair), keep))
-    encoded = F.array_join(
+    return F.array_join(
         F.transform(pairs, lambda p: F.concat(_form_encode(p["name"]), F.lit("="), _form_encode(p["value"]))),
         "&",
     )
-    host = F.substring_index(netloc, "@", -1)
-    acceptable = (
-        url.isNotNull()
-        & scheme.isin("http", "https")
-        & ~url.rlike(r"[\x00-\x1f]")
-        & ~(F.contains(netloc, F.lit("@")) & netloc.rlike(r"[^:@].*@"))
-        & (host != "")
-        & ~host.startswith(":")
-    )
-    return F.when(
-        acceptable,
-        F.concat(
-            scheme,
+
+
+def canonical_url(url: Column) -> Column:
+    """Web link without fragment and tracking parameters, query sorted; NULL if not acceptable.
+
+    Only http(s) links with a host and without credentials or control characters pass.
+    Queries are decoded, sorted by (name, value) and encoded again, so equal links compare equal.
+    """
+    def split_query(clean: Column) -> Column:
+        before = F.substring_index(clean, "?", 1)
+        return F.struct(before.alias("before"), F.substr(clean, F.length(before) + 2).alias("query"))
+
+    def split_scheme(cut: Column) -> Column:
+        scheme = F.substring_index(cut["before"], "://", 1)
+        return F.struct(
+            F.lower(scheme).alias("scheme"), F.substr(cut["before"], F.length(scheme) + 4).alias("rest"), cut["query"].alias("query")
+        )
+
+    def split_host(cut: Column) -> Column:
+        netloc = F.substring_index(cut["rest"], "/", 1)
+        path = F.rtrim(F.substr(cut["rest"], F.length(netloc) + 1), F.lit("/"))
+        return F.struct(cut["scheme"].alias("scheme"), F.lower(netloc).alias("netloc"), path.alias("path"), cut["query"].alias("query"))
+
+    def join(cut: Column) -> Column:
+        netloc = cut["netloc"]
+        host = F.substring_index(netloc, "@", -1)
+        acceptable = (
+            cut["scheme"].isin("http", "https")
+            & ~(F.contains(netloc, F.lit("@")) & netloc.rlike(r"[^:@].*@"))
+            & (host != "")
+            & ~host.startswith(":")
+        )
+        address = F.concat(
+            cut["scheme"],
             F.lit("://"),
             netloc,
-            F.coalesce(F.nullif(F.rtrim(path, F.lit("/")), F.lit("")), F.lit("/")),
-            F.when(query == "", F.lit("")).otherwise(F.rtrim(F.concat(F.lit("?"), encoded), F.lit("?"))),
-        ),
-    )
+            F.when(cut["path"] == "", "/").otherwise(cut["path"]),
+            F.when(cut["query"] == "", "").otherwise(F.rtrim(F.concat(F.lit("?"), _sorted_query(cut["query"])), F.lit("?"))),
+        )
+        return F.when(acceptable, address)
+
+    clean = F.when(~url.rlike(r"[\x00-\x1f]"), F.substring_index(F.trim(url), "#", 1))
+    return bind(bind(bind(bind(clean, split_query), split_scheme), split_host), join)
 
 
 def safe_url(url: Column) -> Column:

@@ -50,20 +50,26 @@ def lag_trend(trend: DataFrame, as_of: Column, lag_weeks: int = 1) -> DataFrame:
 
 
 def align(amazon: DataFrame, trend: DataFrame) -> DataFrame:
-    """Gap-filled panel with its (already lagged) trend, in two shuffles.
+    """Gap-filled panel with its (already lagged) trend, in one shuffle.
 
-    Both sources are stacked and reduced per (ingredient, week), then one window by ingredient cuts
-    the weeks outside the Amazon history and fills the missing ones. The feature windows reuse that
-    last shuffle. Each source holds a week at most once, so taking the maximum just picks its value.
+    Both sources are stacked, laid out by ingredient and reduced per week; windows then cut the weeks
+    outside the Amazon history and fill the missing ones. The feature windows use the same layout.
+    Each source holds a week at most once, so the maximum just picks its value, and an ingredient
+    never has more rows than twice its weeks.
     """
     ours = amazon.select("ingredient_id", "week_end", "searches", "rank", F.lit(True).alias("_own"))
     theirs = trend.select("ingredient_id", "week_end", F.col("value").alias("google_trend"))
     weekly = (
         ours.unionByName(theirs, allowMissingColumns=True)
+        .repartition("ingredient_id")
         .groupBy("ingredient_id", "week_end")
         .agg(*[F.max(c).alias(c) for c in (*PANEL_MEASURES, "_own")])
     )
-    whole = Window.partitionBy("ingredient_id")
+    whole = (
+        Window.partitionBy("ingredient_id")
+        .orderBy("week_end")
+        .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    )
     own_week = F.when(F.col("_own"), F.col("week_end"))
     inside = weekly.withColumns({"_lo": F.min(own_week).over(whole), "_hi": F.max(own_week).over(whole)}).filter(
         "week_end between _lo and _hi"

@@ -23,7 +23,7 @@ PANEL_COLUMNS = ["ingredient_id", "week_end", "searches", "rank", "google_trend"
 )
 def weekly_panel(spark, folder):
     """Weekly totals by Saturday week, completed weeks only."""
-    sales = P.completed_weeks(T.sales_a(spark, folder), F.lit(T.AS_OF))
+    sales = P.completed_weeks(T.sales_a(spark, folder, as_of=T.AS_OF), F.lit(T.AS_OF))
     return sales.select("ingredient_id", "week_end", "searches", "n_lines", "rank")
 
 
@@ -33,7 +33,7 @@ def weekly_panel(spark, folder):
 )
 def panel_gapfill(spark, folder):
     """Every week between an entity's first and last one."""
-    sales = P.completed_weeks(T.sales_a(spark, folder), F.lit(T.AS_OF))
+    sales = P.completed_weeks(T.sales_a(spark, folder, as_of=T.AS_OF), F.lit(T.AS_OF))
     return P.gap_fill(sales.select("ingredient_id", "week_end", "searches", "rank"))
 
 
@@ -56,7 +56,7 @@ dirty AS (SELECT ingredient_id, week_end, n_lines,
 
 def dirty_sales(spark, folder):
     """Weekly sales as vendor text with unusable values in some weeks."""
-    sales = P.completed_weeks(T.sales_a(spark, folder), F.lit(T.AS_OF))
+    sales = P.completed_weeks(T.sales_a(spark, folder, as_of=T.AS_OF), F.lit(T.AS_OF))
     seven, five = F.col("n_lines") % 7, F.col("n_lines") % 5
     searches = (
         F.when(seven == 1, "Infinity").when(seven == 2, "-2").when(seven == 3, "bad")
