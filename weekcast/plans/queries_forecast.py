@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weekcast.constants import FEATURES, HORIZONS, MODELS
+from weekcast.constants import ABLATIONS, FEATURES, HORIZONS, MODELS, RIDGE_MODELS
 from weekcast.functions.dates import on_grid
 from weekcast.functions.hashing import is_heldout
 from weekcast.operators import backtest as B, features as X, forecast as Y, moments as M, panel as P
@@ -403,49 +403,185 @@ def ingredient_diagnostics(spark, folder):
     return naive(spark, folder).diagnostics
 
 
-# --- all six models: checked against numpy in the tests, rows-only here ---
-@query("ridge_fits")
+# --- all six models ------------------------------------------------------------------------------
+# The SQL builds every training set by the range join, solves each fit by Gauss-Jordan elimination in
+# a recursive statement and predicts case by case. Values are compared to four decimals.
+_AT = {name: i + 1 for i, name in enumerate(FEATURES)}
+_MODEL_ROWS = ", ".join(
+    f"({m!r}, {'google_level' in c}, {'rank_log' in c}, {[_AT[f] for f in c]})" for m, c in RIDGE_MODELS.items()
+)
+_RIDGE_SQL = f"""labels AS ({" UNION ALL ".join(
+    f"SELECT family_id, heldout, origin, {h} AS horizon_weeks, target_end_{h} AS target_end, google_available, rank_available, "
+    f"[{', '.join(FEATURES)}] AS x, ln(1 + target_{h}) - ln(1 + baseline) AS y "
+    f"FROM feat_a WHERE target_{h} IS NOT NULL AND {S.GRID.format('origin')}" for h in HORIZONS)}),
+models(model, needs_google, needs_rank, used) AS (VALUES {_MODEL_ROWS}),
+wanted AS (SELECT 'backtest' AS scope, origin FROM origins_a UNION ALL SELECT 'deploy', as_of FROM bounds_a),
+train AS (SELECT w.scope, l.horizon_weeks, m.model, w.origin AS fit_origin, l.family_id, l.origin, l.y,
+    list_transform(m.used, lambda f: l.x[f]) AS xs, len(m.used) AS width
+  FROM wanted w JOIN labels l ON l.target_end <= w.origin AND (w.scope = 'deploy' OR NOT l.heldout)
+  JOIN models m ON (l.google_available OR NOT m.needs_google) AND (l.rank_available OR NOT m.needs_rank)),
+gated AS (SELECT scope, horizon_weeks, model, fit_origin, avg(y) AS intercept FROM train GROUP BY scope, horizon_weeks, model, fit_origin
+  HAVING count(*) >= 40 AND count(DISTINCT family_id) >= 4 AND count(DISTINCT origin) >= 4),
+wide_rows AS (SELECT t.*, unnest(range(1, width + 1)) AS i FROM train t SEMI JOIN gated g USING (scope, horizon_weeks, model, fit_origin)),
+columns_ AS (SELECT scope, horizon_weeks, model, fit_origin, i, count(*) AS n, avg(xs[i]) AS mean, stddev_pop(xs[i]) AS scale, covar_pop(xs[i], y) AS xy
+  FROM wide_rows GROUP BY 1, 2, 3, 4, 5),
+products AS (SELECT scope, horizon_weeks, model, fit_origin, i, j, covar_pop(xs[i], xs[j]) AS xx
+  FROM (SELECT *, unnest(range(1, width + 1)) AS j FROM wide_rows) GROUP BY 1, 2, 3, 4, 5, 6),
+matrix_rows AS (SELECT p.scope, p.horizon_weeks, p.model, p.fit_origin, p.i,
+    list(a.n * p.xx / (a.scale * b.scale) + CASE WHEN p.i = p.j THEN 10 ELSE 0 END ORDER BY p.j) || [any_value(a.n * a.xy / a.scale)] AS r
+  FROM products p JOIN columns_ a ON (a.scope, a.horizon_weeks, a.model, a.fit_origin, a.i) = (p.scope, p.horizon_weeks, p.model, p.fit_origin, p.i)
+  JOIN columns_ b ON (b.scope, b.horizon_weeks, b.model, b.fit_origin, b.i) = (p.scope, p.horizon_weeks, p.model, p.fit_origin, p.j) GROUP BY 1, 2, 3, 4, 5),
+steps AS (SELECT scope, horizon_weeks, model, fit_origin, 1 AS k, list(r ORDER BY i) AS m FROM matrix_rows GROUP BY 1, 2, 3, 4
+  UNION ALL SELECT scope, horizon_weeks, model, fit_origin, k + 1,
+    list_transform(m, lambda r, i: CASE WHEN i = k THEN piv ELSE list_transform(r, lambda v, j: v - r[k] * piv[j]) END)
+  FROM (SELECT *, list_transform(m[k], lambda v: v / m[k][k]) AS piv FROM steps WHERE k <= len(m))),
+solved AS (SELECT scope, horizon_weeks, model, fit_origin, list_transform(m, lambda r: r[len(m) + 1]) AS beta FROM steps WHERE k = len(m) + 1),
+shape AS (SELECT scope, horizon_weeks, model, fit_origin, list(mean ORDER BY i) AS means, list(scale ORDER BY i) AS scales FROM columns_ GROUP BY 1, 2, 3, 4),
+fits AS (SELECT s.*, means, scales, intercept, used, needs_google, needs_rank FROM solved s JOIN shape USING (scope, horizon_weeks, model, fit_origin)
+  JOIN gated USING (scope, horizon_weeks, model, fit_origin) JOIN models USING (model))"""
+
+
+def _delta(x: str) -> str:
+    return (
+        f"intercept + list_sum(list_transform(used, lambda f, q: ({x}[f] - means[q]) / scales[q] * beta[q]))"
+    )
+
+
+_SIX_SQL = f"""{_RIDGE_SQL},
+case_x AS (SELECT c.*, [{', '.join('f.' + f for f in FEATURES)}] AS x, google_available, rank_available
+  FROM cases_a c JOIN feat_a f ON f.ingredient_id = c.ingredient_id AND f.origin = c.origin),
+six AS (SELECT ingredient_id, family_id, heldout, origin, target_end, horizon_weeks, actual, baseline, split, model, predicted FROM long_a
+  UNION ALL SELECT c.ingredient_id, c.family_id, c.heldout, c.origin, c.target_end, c.horizon_weeks, c.actual, c.baseline, c.split, t.model,
+    greatest(0, exp(least(greatest(ln(1 + c.baseline) + {_delta('c.x')}, -20), 30)) - 1)
+  FROM case_x c JOIN fits t ON t.scope = 'backtest' AND t.fit_origin = c.origin AND t.horizon_weeks = c.horizon_weeks
+    AND (c.google_available OR NOT t.needs_google) AND (c.rank_available OR NOT t.needs_rank)),
+calibrated AS (SELECT horizon_weeks, model, count(*) AS n,
+    CASE WHEN count(*) >= 20 AND count(DISTINCT origin) >= 2 THEN quantile_cont(ln(1 + actual) - ln(1 + predicted), 0.1) END AS low,
+    CASE WHEN count(*) >= 20 AND count(DISTINCT origin) >= 2 THEN quantile_cont(ln(1 + actual) - ln(1 + predicted), 0.9) END AS high
+  FROM six WHERE split = 'validation' GROUP BY 1, 2),
+bounded AS (SELECT s.*, CASE WHEN split LIKE '%sealed_test' THEN greatest(0, exp(ln(1 + predicted) + low) - 1) END AS lower,
+    CASE WHEN split LIKE '%sealed_test' THEN greatest(0, exp(ln(1 + predicted) + high) - 1) END AS upper FROM six s LEFT JOIN calibrated USING (horizon_weeks, model))"""
+
+# Common cases: those ridge_amazon predicted, or all where it predicted none.
+_CHOICE_SQL = f"""{_SIX_SQL},
+valid AS (SELECT * FROM six WHERE split = 'validation'),
+keys AS (SELECT v.horizon_weeks, ingredient_id, origin FROM valid v WHERE model = 'ridge_amazon'
+  UNION ALL SELECT horizon_weeks, ingredient_id, origin FROM valid WHERE model = 'last13mean' AND horizon_weeks NOT IN (SELECT horizon_weeks FROM valid WHERE model = 'ridge_amazon')),
+scored6 AS (SELECT horizon_weeks, model, count(*) AS n, count(DISTINCT origin) AS n_origins, sum(abs(actual - predicted)) / sum(actual) AS wape
+  FROM valid SEMI JOIN keys USING (horizon_weeks, ingredient_id, origin) GROUP BY 1, 2),
+size6 AS (SELECT horizon_weeks, n AS n_cases, n_origins, wape AS baseline_wape FROM scored6 WHERE model = 'last13mean'),
+chosen6 AS (SELECT z.horizon_weeks, coalesce(arg_min(c.model, c.wape), 'last13mean') AS model, 'validation' AS selection_split, z.n_cases, z.n_origins, z.baseline_wape,
+    coalesce(min(c.wape), z.baseline_wape) AS selected_wape, CASE WHEN count(c.model) > 0 THEN 'validation_improvement' ELSE 'conservative_baseline' END AS reason
+  FROM size6 z LEFT JOIN scored6 c ON c.horizon_weeks = z.horizon_weeks AND c.n = z.n_cases AND z.n_cases >= 20 AND z.n_origins >= 2 AND c.model <> 'last13mean'
+    AND c.wape < z.baseline_wape AND c.wape <= 0.95::DOUBLE * z.baseline_wape GROUP BY z.horizon_weeks, z.n_cases, z.n_origins, z.baseline_wape)"""
+
+
+def _six(tail: str, dates=(), doubles=()) -> str:
+    return four(f"{S.base('a', 'cases').replace('WITH ', 'WITH RECURSIVE ', 1)}, {tail}", dates, doubles)
+
+
+def four(sql: str, dates=(), doubles=()) -> str:
+    changes = [f"CAST({c} AS VARCHAR) AS {c}" for c in dates] + [f"round(CAST({c} AS DOUBLE), 4) + 0.0 AS {c}" for c in doubles]
+    return f"SELECT * REPLACE ({', '.join(changes)}) FROM ({sql}) AS answer"
+
+
+def rounded(df):
+    """Doubles to four decimals: two solvers agree to about twelve digits."""
+    return df.withColumns({c: F.round(c, 4) for c, kind in df.dtypes if kind == "double"})
+
+
+@query(
+    "ridge_fits",
+    _six(f"""{_RIDGE_SQL}, names AS (SELECT {list(FEATURES)!r} AS all_names),
+      spread AS (SELECT scope, horizon_weeks, model, fit_origin AS origin, 10.0::DOUBLE AS alpha, intercept, all_names[used[q]] AS feature, means[q] AS scaler_mean,
+        scales[q] AS scaler_scale, beta[q] AS coefficient FROM (SELECT *, unnest(range(1, len(used) + 1)) AS q FROM fits), names) SELECT * FROM spread""",
+         ("origin",), ("alpha", "intercept", "scaler_mean", "scaler_scale", "coefficient")),
+)
 def ridge_fits(spark, folder):
     """M5, K6: fitted parameters of every walk-forward and deployment fit."""
-    fits = full(spark, folder).fits
-    listed = {
-        name: F.array_join(F.transform(name, lambda v: F.format_number(v, 6)), ";")
-        for name in ("scaler_mean", "scaler_scale", "coefficients")
-    }
-    return fits.drop("weights", "features", "bias").withColumns(listed)
+    parts = F.arrays_zip("features", "scaler_mean", "scaler_scale", "coefficients")
+    rows = full(spark, folder).fits.select("scope", "horizon_weeks", "model", "origin", "alpha", "intercept", F.inline(parts))
+    return rounded(rows.withColumnsRenamed({"features": "feature", "coefficients": "coefficient"}))
 
 
-@query("ridge_backtest")
+@query(
+    "ridge_backtest",
+    _six(f"{_SIX_SQL} SELECT {', '.join(LONG)}, lower, upper FROM bounded", ("origin", "target_end"), ("actual", "predicted", "baseline", "lower", "upper")),
+)
 def ridge_backtest(spark, folder):
     """M6, M8: all six models, long form with intervals."""
-    return full(spark, folder).backtests.select(*LONG, "lower", "upper")
+    return rounded(full(spark, folder).backtests.select(*LONG, "lower", "upper"))
 
 
-@query("ridge_summary")
+@query("ridge_summary", _six(f"{_SIX_SQL} SELECT horizon_weeks, split, model, {S.metric_columns(True)} FROM bounded GROUP BY 1, 2, 3", (), S.METRIC_DOUBLES))
 def ridge_summary(spark, folder):
     """A4 over all six models."""
-    return full(spark, folder).summary
+    return rounded(full(spark, folder).summary)
 
 
-@query("ridge_selection")
+@query("ridge_selection", _six(f"{_CHOICE_SQL} SELECT * FROM chosen6", (), ("baseline_wape", "selected_wape")))
 def ridge_selection(spark, folder):
     """M7 over all six models."""
-    return full(spark, folder).selected
+    return rounded(full(spark, folder).selected)
+
+
+_ABLATION_ROWS = ", ".join(f"({name!r}, {a!r}, {b!r})" for name, (a, b) in ABLATIONS.items())
 
 
-@query("ridge_ablations")
+@query(
+    "ridge_ablations",
+    _six(f"""{_SIX_SQL}, pairs(comparison, one, two) AS (VALUES {_ABLATION_ROWS}),
+      matched AS (SELECT p.comparison, s.* FROM six s JOIN pairs p ON s.model IN (p.one, p.two)
+        JOIN six o ON o.ingredient_id = s.ingredient_id AND o.origin = s.origin AND o.horizon_weeks = s.horizon_weeks AND o.model = CASE WHEN s.model = p.one THEN p.two ELSE p.one END)
+      SELECT horizon_weeks, split, comparison, model, {S.metric_columns()} FROM matched GROUP BY 1, 2, 3, 4""", (), S.METRIC_DOUBLES),
+)
 def ridge_ablations(spark, folder):
     """A5: the four feature-source ablations on matched cases."""
-    return full(spark, folder).ablations
+    return rounded(full(spark, folder).ablations)
 
 
-@query("deploy_forecast")
+@query(
+    "deploy_forecast",
+    _six(f"""{_CHOICE_SQL},
+      recent AS (SELECT p.ingredient_id, avg(searches) AS baseline FROM panel_a p, bounds_a b WHERE week_end BETWEEN as_of - 84 AND as_of GROUP BY 1 HAVING count(searches) = 13),
+      cur AS (SELECT f.*, [{', '.join('f.' + f for f in FEATURES)}] AS x FROM feat_a f, bounds_a b WHERE f.origin = b.as_of),
+      options AS (SELECT c.ingredient_id, k.horizon_weeks, k.model, CASE k.model WHEN 'last13mean' THEN c.baseline
+          WHEN 'seasonal' THEN CASE k.horizon_weeks WHEN 13 THEN c.seasonal_13 ELSE c.seasonal_26 END END AS predicted FROM cur c CROSS JOIN chosen6 k WHERE k.model IN ('last13mean', 'seasonal')
+        UNION ALL SELECT c.ingredient_id, k.horizon_weeks, k.model, greatest(0, exp(least(greatest(ln(1 + c.baseline) + {_delta('c.x')}, -20), 30)) - 1)
+        FROM cur c CROSS JOIN chosen6 k JOIN fits t ON t.scope = 'deploy' AND t.horizon_weeks = k.horizon_weeks AND t.model = k.model
+          AND (c.google_available OR NOT t.needs_google) AND (c.rank_available OR NOT t.needs_rank)),
+      audit AS (SELECT k.horizon_weeks, sum(abs(s.actual - s.predicted)) / sum(s.actual) < sum(abs(s.actual - s.baseline)) / sum(s.actual) AS better
+        FROM chosen6 k JOIN six s ON s.horizon_weeks = k.horizon_weeks AND s.model = k.model AND s.split = 'sealed_test' GROUP BY 1),
+      joined AS (SELECT e.ingredient_id, k.horizon_weeks, k.model AS chosen, c.ingredient_id IS NOT NULL AS eligible, r.baseline, o.predicted AS own, better
+        FROM (SELECT DISTINCT ingredient_id FROM panel_a) e CROSS JOIN chosen6 k LEFT JOIN cur c USING (ingredient_id) LEFT JOIN recent r USING (ingredient_id)
+        LEFT JOIN options o ON o.ingredient_id = e.ingredient_id AND o.horizon_weeks = k.horizon_weeks LEFT JOIN audit a ON a.horizon_weeks = k.horizon_weeks),
+      used6 AS (SELECT *, CASE WHEN eligible AND own IS NOT NULL THEN chosen WHEN baseline IS NOT NULL THEN 'last13mean' END AS model,
+        CASE WHEN eligible AND own IS NOT NULL THEN own ELSE baseline END AS predicted_mean FROM joined)
+      SELECT u.ingredient_id, u.ingredient_id AS family_id, u.horizon_weeks, baseline, predicted_mean, CASE WHEN baseline > 0 THEN (predicted_mean / baseline - 1) * 100 END AS growth_pct,
+        CASE WHEN eligible THEN greatest(0, exp(ln(1 + predicted_mean) + low) - 1) END AS lower, CASE WHEN eligible THEN greatest(0, exp(ln(1 + predicted_mean) + high) - 1) END AS upper,
+        u.model, CASE WHEN eligible AND u.model <> 'last13mean' THEN 'ok' WHEN u.model IS NOT NULL THEN 'baseline_only' ELSE 'insufficient_data' END AS status,
+        CASE WHEN eligible THEN coalesce(c.n, 0) ELSE 0 END AS n_calibration,
+        CASE WHEN eligible AND low IS NOT NULL THEN 'empirical_80pct' WHEN eligible THEN 'insufficient_calibration' WHEN baseline IS NOT NULL THEN 'insufficient_history' END AS interval_status,
+        CASE WHEN eligible AND chosen <> u.model THEN 'selected_model_unavailable' WHEN NOT eligible AND baseline IS NOT NULL THEN 'requires_104_complete_weeks_for_model' END AS fallback_reason,
+        coalesce(better AND u.model <> 'last13mean', false) AS has_proven_gain
+      FROM used6 u LEFT JOIN calibrated c ON c.horizon_weeks = u.horizon_weeks AND c.model = u.model""",
+         (), ("baseline", "predicted_mean", "growth_pct", "lower", "upper")),
+)
 def deploy_forecast(spark, folder):
     """Forecasts from fits on all families, with the gain flag."""
-    return full(spark, folder).forecasts
+    return rounded(full(spark, folder).forecasts)
 
 
-@query("analysis_warnings")
+@query(
+    "analysis_warnings",
+    f"""{S.base('a', 'cases').replace('WITH ', 'WITH RECURSIVE ', 1)}, {_CHOICE_SQL},
+      failed AS (SELECT k.horizon_weeks || ':' || k.model AS detail FROM chosen6 k JOIN six s ON s.horizon_weeks = k.horizon_weeks AND s.model = k.model AND s.split = 'sealed_test'
+        WHERE k.model <> 'last13mean' GROUP BY k.horizon_weeks, k.model HAVING sum(abs(s.actual - s.predicted)) >= sum(abs(s.actual - s.baseline)))
+      SELECT 'stale_data' AS code, CAST({S.AS_OF} + 30 - as_of AS VARCHAR) AS detail FROM bounds_a
+      UNION ALL SELECT 'chosen_model_failed_sealed_test', detail FROM failed
+      UNION ALL SELECT 'no_heldout_family', NULL WHERE NOT EXISTS (SELECT 1 FROM panel_a WHERE {S.HELDOUT.format('ingredient_id')})
+      UNION ALL SELECT 'no_backtests', NULL WHERE NOT EXISTS (SELECT 1 FROM six)""",
+)
 def analysis_warnings(spark, folder):
     """Warning codes of the run, reported 30 days after the cut."""
     return full(spark, folder).warnings(F.date_add(F.lit(T.AS_OF), 30))
