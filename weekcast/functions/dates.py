@@ -46,7 +46,8 @@ def compact_date(label: Column) -> Column:
 
 
 def epoch_ms_date(ms: Column) -> Column:
-    return F.to_date(F.timestamp_millis(ms))
+    """UTC day of an epoch-milliseconds value, whatever the session's time zone."""
+    return F.date_from_unix_date(F.floor(ms / 86_400_000).cast("int"))
 
 
 def window_start(as_of: Column, months: int = NEWS_MONTHS) -> Column:

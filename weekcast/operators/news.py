@@ -113,7 +113,7 @@ def normalize_items(items: DataFrame) -> DataFrame:
 def associate(items: DataFrame, catalog: DataFrame) -> DataFrame:
     """(item_key, ingredient_id): known explicit ids, and exact term matches. Brands never match.
 
-    ``catalog``: id, keyword, name, aliases.
+    ``catalog``: id, keyword, name, aliases. A term or id that very many items name is spread over tasks.
     """
     names = F.concat(F.array("keyword", "name"), F.coalesce("aliases", F.array().cast("array<string>")))
     terms = (
@@ -122,17 +122,14 @@ def associate(items: DataFrame, catalog: DataFrame) -> DataFrame:
         .filter("term <> ''")
         .distinct()
     )
-    explicit = (
-        items.select("item_key", F.explode("ingredient_ids").alias("id"))
-        .join(catalog.select("id"), "id", "left_semi")
-        .select("item_key", F.col("id").alias("ingredient_id"))
+    named = items.select("item_key", F.explode("ingredient_ids").alias("id"))
+    explicit = spread_join(named, catalog.select("id").distinct(), ["id"], "inner").select(
+        "item_key", F.col("id").alias("ingredient_id")
     )
-    matched = (
-        items.select("item_key", F.explode("ingredient_keywords").alias("term"))
-        .select("item_key", folded(F.col("term")).alias("term"))
-        .join(terms, "term")
-        .select("item_key", "ingredient_id")
+    worded = items.select("item_key", F.explode("ingredient_keywords").alias("term")).select(
+        "item_key", folded(F.col("term")).alias("term")
     )
+    matched = spread_join(worded, terms, ["term"], "inner").select("item_key", "ingredient_id")
     return explicit.unionByName(matched).distinct()
 
 

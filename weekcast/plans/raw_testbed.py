@@ -103,7 +103,7 @@ def trend_files(spark: SparkSession, folder: str) -> DataFrame:
     """One trend file per brand; some have a label that is not a Sunday."""
     number = brand_number()
     points = T.trend(T.sales_a(spark, folder)).withColumn("start", F.date_sub("week_end", 6))
-    item = F.struct(F.unix_millis(F.col("start").cast("timestamp")).alias("time"), "value")
+    item = F.struct((F.unix_date("start").cast("bigint") * 86400000).alias("time"), "value")
     history = points.groupBy("ingredient_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
     monday = F.transform(F.slice("items", 1, 1), lambda x: F.struct((x["time"] + 86400000).alias("time"), x["value"].alias("value")))
     items = F.when(number % 5 == 4, F.concat("items", monday)).otherwise(F.col("items"))
