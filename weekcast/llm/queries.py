@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weekcast.llm import harmonic_packing, token_codes
+from weekcast.llm import harmonic_packing, link_trust, rule_cascade, simhash_bytes, string_kernel, token_codes, toxic_segments, zstd_quality
+from weekcast.llm.training import held_out
 from weekcast.session import work_path
 
 END_ID = 2
@@ -24,6 +25,57 @@ def op1_token_codes(spark: SparkSession, folder: str) -> DataFrame:
     return token_codes.read_codes(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+#: Longest fitting rule first or not, the order here doesn't matter.
+URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
+
+
+def op2_link_trust(spark: SparkSession, folder: str) -> DataFrame:
+    """Judge every page by host rules and, where none fits, by trust and distrust of its host in the link graph."""
+    return link_trust.judge(table(spark, folder, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+#: A document is predicted to have label 1 from this score on.
+LEAST_SCORE = 0.3
+
+
+def op5_toxic_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Score all documents for toxicity by their maximum-scoring segments."""
+    docs, aside = table(spark, folder, "documents"), held_out(F.col("doc_id"), 4, 2)
+    model = toxic_segments.learn(docs, table(spark, folder, "labels"), ~aside)
+    scored = toxic_segments.score(docs, model)
+    return scored.select("doc_id", aside.alias("held_out"), "score", (F.col("score") >= LEAST_SCORE).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
+
+
+def op6_string_kernel(spark: SparkSession, folder: str) -> DataFrame:
+    """Predict the language of all documents by a string kernel."""
+    docs, aside = table(spark, folder, "documents"), held_out(F.col("doc_id"), 4, 2)
+    model = string_kernel.learn(docs, ~aside)
+    return string_kernel.predict(docs, model).select("doc_id", aside.alias("held_out"), "lang_pred", "score")
+
+
+def op7_zstd_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Score all documents for quality by two compression dictionaries."""
+    docs, aside = table(spark, folder, "documents"), held_out(F.col("doc_id"), 5, 0)
+    model = zstd_quality.learn(docs, table(spark, folder, "labels"), ~aside)
+    scored = zstd_quality.score(docs, model)
+    return scored.select("doc_id", aside.alias("held_out"), "score", (F.col("score") >= LEAST_SCORE).cast("int").alias("predicted"))
+
+
+def op8_simhash_bytes(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint all documents and name each one's near-duplicate component."""
+    placed = simhash_bytes.components(table(spark, folder, "documents"))
+    return placed.select("doc_id", simhash_bytes.hexadecimal("print").alias("fingerprint"), "component_id")
+
+
+def op9_rule_cascade(spark: SparkSession, folder: str) -> DataFrame:
+    """Measure all documents and keep those that pass the cascade of quality rules."""
+    judged = rule_cascade.judge(table(spark, folder, "documents"))
+    base = [r.rejects for r in rule_cascade.base_rules()]
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (base[0] | base[1]).alias("base_failed"), F.col("failed_rule").isNull().alias("kept")
+    )
+
+
 def op10_harmonic_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Pack all documents into sequences of 4096 tokens."""
     packed = harmonic_packing.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID)
@@ -32,6 +84,12 @@ def op10_harmonic_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_codes": op1_token_codes,
+    "op2_link_trust": op2_link_trust,
+    "op5_toxic_segments": op5_toxic_segments,
+    "op6_string_kernel": op6_string_kernel,
+    "op7_zstd_quality": op7_zstd_quality,
+    "op8_simhash_bytes": op8_simhash_bytes,
+    "op9_rule_cascade": op9_rule_cascade,
     "op10_harmonic_packing": op10_harmonic_packing,
 }
 ORACLES: dict[str, str] = {}
