@@ -8,13 +8,14 @@ from weekcast.operators import scale
 from weekcast.operators.components import connected_components
 
 
-@pytest.mark.parametrize("small", [scale.SMALL_GROUP, 50])
-def test_exact_quantiles_match_numpy(spark, monkeypatch, small):
-    monkeypatch.setattr(scale, "SMALL_GROUP", small)
+@pytest.mark.parametrize("accuracy", [10_000, 40, 3])
+def test_exact_quantiles_match_numpy(spark, accuracy):
+    """One group with many values, one that is half one value, small groups; coarse sketches must be widened."""
     rng = np.random.default_rng(1)
-    frame = pd.DataFrame({"g": np.repeat(["a", "b"], 30_000), "v": np.concatenate([rng.normal(size=30_000), rng.integers(0, 5, 30_000)])})
-    got = scale.exact_quantiles(spark.createDataFrame(frame), ["g"], "v", (0.1, 0.5, 0.9)).collect()
-    assert len(got) == 6
+    parts = {"a": rng.normal(size=30_000), "b": np.concatenate([rng.integers(0, 5, 15_000), np.full(15_000, 3)]), "c": [7.5], "d": [1, 2], "e": range(11)}
+    frame = pd.DataFrame([(g, float(v)) for g, values in parts.items() for v in values], columns=["g", "v"])
+    got = scale.exact_quantiles(spark.createDataFrame(frame), ["g"], "v", (0.0, 0.1, 0.5, 0.9, 1.0), accuracy).collect()
+    assert len(got) == 25
     for row in got:
         assert row["quantile"] == pytest.approx(np.quantile(frame.v[frame.g == row["g"]], row["probability"]))
 
@@ -26,12 +27,15 @@ def test_global_index_is_a_dense_total_order(spark):
     assert [r["k"] for r in rows] == sorted(r["k"] for r in rows)
 
 
-def test_spread_join_with_a_hot_key(spark):
-    facts = spark.range(9000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), "id")
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_spread_join_with_a_hot_and_a_null_key(spark, how):
+    """Half of all rows have one key, a sixth have none."""
+    key = F.when(F.col("id") % 2 == 0, 0).when(F.col("id") % 3 == 0, None).otherwise(F.col("id"))
+    facts = spark.range(9000).select(key.alias("k"), "id")
     lookup = spark.range(9000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w")).filter("k % 5 <> 1")
-    plain = facts.join(lookup, "k", "left")
-    spread = scale.spread_join(facts, lookup, ["k"], hot_rows=100)
-    assert spread.exceptAll(plain).count() == 0 and spread.count() == plain.count() == 9000
+    plain = facts.join(lookup, "k", how)
+    spread = scale.spread_join(facts, lookup, ["k"], how)
+    assert spread.exceptAll(plain).count() == 0 and spread.count() == plain.count()
 
 
 def test_running_total_and_previous_value_cross_blocks(spark):

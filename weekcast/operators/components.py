@@ -1,8 +1,8 @@
 """Connected components of an edge table by alternating large-star and small-star rounds.
 
-Kiveris et al., "Connected Components in MapReduce and Beyond" (SoCC 2014). Each round is a
-map-side-combined minimum per node and a salted join, so a node with very many neighbours is spread
-over tasks. Rounds are written to the shared folder; their number grows with log of the size.
+Kiveris et al., "Connected Components in MapReduce and Beyond" (SoCC 2014). Each star is a map-side-combined
+minimum per node, written once, and a salted join, so a node with very many neighbours is spread over tasks.
+Rounds go on until nothing changes; their number grows with the log of the size.
 """
 
 from __future__ import annotations
@@ -12,27 +12,29 @@ from pyspark.sql import DataFrame, Observation, functions as F
 from weekcast.operators.scale import spread_join
 from weekcast.session import stage
 
-MAX_ROUNDS = 60
-
 
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u"), F.col("v")).unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _least(edges: DataFrame) -> DataFrame:
+    """(u, m, _n): least neighbour and number of neighbours, written, for a star reads it several times."""
+    return stage(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n")), "least")
+
+
+def _large_star(edges: DataFrame, rows: int) -> DataFrame:
     """Each node hands its larger neighbours to the smallest node around it."""
     around = _both_ways(edges)
-    least = around.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n")).withColumn("m", F.least("u", "m"))
-    larger = around.filter("v > u")
-    moved = spread_join(larger, least.select("u", "m"), ["u"], "inner", counts=least)
+    least = _least(around)
+    moved = spread_join(around.filter("v > u"), least.select("u", F.least("u", "m").alias("m")), ["u"], "inner", least, 2 * rows)
     return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, rows: int) -> DataFrame:
     """Each node links its smaller neighbours, and itself, to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v")
-    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n"))
-    moved = spread_join(down, least.select("u", "m"), ["u"], "inner", counts=least)
+    least = _least(down)
+    moved = spread_join(down, least.select("u", "m"), ["u"], "inner", least, rows)
     own = least.select("u", F.col("m").alias("v"))
     return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(own).filter("u <> v").distinct()
 
@@ -50,14 +52,12 @@ def _stage(edges: DataFrame) -> tuple[DataFrame, tuple]:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (columns u, v); component is the least node."""
     given = stage(edges.select("u", "v").distinct(), "edges")
-    links, before = _stage(given.filter("u <> v"))
-    for _ in range(MAX_ROUNDS):
-        links, after = _stage(_small_star(_large_star(links)))
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError("connected components did not settle")
+    links, now = _stage(given.filter("u <> v"))
+    before = None
+    while now[0] and now != before:
+        before = now
+        large, (rows, _) = _stage(_large_star(links, now[0]))
+        links, now = _stage(_small_star(large, rows))
     # Every edge now leads from a node to the least node of its component.
     nodes = _both_ways(given).select("u").distinct()
     return nodes.join(links, "u", "left").select(F.col("u").alias("node"), F.coalesce("v", "u").alias("component"))

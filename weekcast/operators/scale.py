@@ -10,10 +10,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from weekcast.session import shared_folder
+from weekcast.session import shared_folder, stage
 
-SMALL_GROUP = 100_000
-HOT_ROWS = 1_000_000
+#: A key is hot from this share of all rows on, so a list of hot keys has at most as many entries.
+SHARES = 256
 
 
 def spread_join(
@@ -21,23 +21,30 @@ def spread_join(
     lookup: DataFrame,
     on: Sequence[str],
     how: str = "left",
-    salts: int = 32,
-    hot_rows: int = HOT_ROWS,
     counts: DataFrame | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
-    """Join many rows per key to one row per key; a key with over ``hot_rows`` rows is many tasks.
+    """Join many rows per key to one row per key; a key with over 1/256 of all rows becomes several tasks.
 
-    Only hot keys are salted, and only their lookup rows are copied. The list of hot keys is
-    broadcast: it has at most (rows of ``facts``) / ``hot_rows`` entries. ``counts`` (``on``, ``_n``)
-    may give the number of rows per key where it is known already.
+    Each hot key gets as many parts as it has shares of 1/256, so no part is larger than a share, whatever
+    the size. Only hot keys are salted, and only their lookup rows are copied. Rows with a null key never
+    match and are spread too. The list of hot keys is broadcast: it has fewer than 256 entries. ``counts``
+    (``on``, ``_n``) and ``rows`` may give the number of rows per key and in all where they are known already.
     """
     if counts is None:
         counts = facts.groupBy(*on).agg(F.count("*").alias("_n"))
-    hot = F.broadcast(counts.filter(F.col("_n") > hot_rows).select(*on, F.lit(True).alias("_hot")))
-    spot = F.pmod(F.xxhash64(*[F.col(c) for c in facts.columns]), F.lit(salts)).cast("int")
-    salted = facts.join(hot, list(on), "left").withColumn("_salt", F.when(F.col("_hot"), spot).otherwise(0)).drop("_hot")
-    places = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    copies = lookup.join(hot, list(on), "left").withColumn("_salt", F.explode(places)).drop("_hot")
+    if rows is None:
+        rows = facts.count()
+    share = max(1, -(-rows // SHARES))
+    hot = F.broadcast(counts.filter(F.col("_n") > share).select(*on, F.ceil(F.col("_n") / share).cast("int").alias("_parts")))
+    missing = F.lit(False)
+    for c in on:
+        missing = missing | F.col(c).isNull()
+    parts = F.when(missing, SHARES).otherwise(F.coalesce("_parts", F.lit(1)))
+    spot = F.pmod(F.xxhash64(*[F.col(c) for c in facts.columns]), parts).cast("int")
+    salted = facts.join(hot, list(on), "left").withColumn("_salt", spot).drop("_parts")
+    places = F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)
+    copies = lookup.join(hot, list(on), "left").withColumn("_salt", F.explode(places)).drop("_parts")
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
@@ -101,64 +108,61 @@ def previous_value(
     )
 
 
-def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float], accuracy: int = 10_000
+def _bracketed_quantiles(
+    df: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float], accuracy: int, margin: float
 ) -> DataFrame:
-    """Exact linearly interpolated quantiles for a few keys with arbitrarily many rows each.
-
-    Output: ``keys``, ``probability``, ``quantile``, ``n``. A rank sketch brackets every wanted
-    order statistic; rows below a bracket are only counted, and equal values inside it are counted
-    together, so the ranking window sees about n/1000 values. Groups up to 100,000 rows are ranked
-    whole. A bracket that misses its rank fails the job instead of giving a wrong value.
-
-    The number of distinct ``keys`` must be small and fixed (it is broadcast).
-    """
-    margin = 5 / accuracy
+    """``keys``, ``probability``, ``quantile``, ``n`` and whether the brackets held the wanted ranks (``sound``)."""
     marks = [p for q in probabilities for p in (max(0.0, q - margin), min(1.0, q + margin))]
     sketch = df.groupBy(*keys).agg(
         F.count(value).alias("n"), F.percentile_approx(value, F.array(*map(F.lit, marks)), accuracy).alias("_marks")
     )
-    unbounded = F.col("n") <= SMALL_GROUP
     brackets = F.array(
         *[
-            F.struct(
-                F.lit(float(q)).alias("probability"),
-                F.when(unbounded, F.lit(float("-inf"))).otherwise(F.col("_marks")[2 * i]).alias("low"),
-                F.when(unbounded, F.lit(float("inf"))).otherwise(F.col("_marks")[2 * i + 1]).alias("high"),
-            )
+            F.struct(F.lit(float(q)).alias("probability"), F.col("_marks")[2 * i].alias("low"), F.col("_marks")[2 * i + 1].alias("high"))
             for i, q in enumerate(probabilities)
         ]
     )
-    bracketed = (
+    side = F.when(F.col("_v") < F.col("low"), -1).when(F.col("_v") > F.col("high"), 1).otherwise(0)
+    # Values below and above a bracket are one row each, with the value next to the bracket.
+    counted = (
         df.select(*keys, F.col(value).cast("double").alias("_v"))
         .filter("_v is not null")
         .join(F.broadcast(sketch.select(*keys, "n", brackets.alias("_brackets"))), list(keys))
         .select(*keys, "n", "_v", F.inline("_brackets"))
-        .filter(F.col("_v") <= F.col("high"))
-    )
-    counted = bracketed.groupBy(
-        *keys, "probability", "n", F.when(F.col("_v") >= F.col("low"), F.col("_v")).alias("_v")
-    ).agg(F.count("*").alias("_c"))
-    ranked = counted.withColumn(
-        "_cum",
-        F.sum("_c").over(
-            Window.partitionBy(*keys, "probability")
-            .orderBy(F.col("_v").asc_nulls_first())
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        ),
+        .groupBy(*keys, "probability", "n", side.alias("_side"), F.when(side == 0, F.col("_v")).alias("_inside"))
+        .agg(F.count("*").alias("_c"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+        .withColumn("_v", F.when(F.col("_side") < 0, F.col("_max")).otherwise(F.col("_min")))
     )
+    order = Window.partitionBy(*keys, "probability").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counted.withColumn("_cum", F.sum("_c").over(order))
     place = F.col("probability") * (F.col("n") - 1)
     low_rank, high_rank = F.floor(place) + 1, F.ceil(place) + 1
     picked = ranked.groupBy(*keys, "probability", "n").agg(
         F.min(F.when(F.col("_cum") >= low_rank, F.col("_v"))).alias("_low"),
         F.min(F.when(F.col("_cum") >= high_rank, F.col("_v"))).alias("_high"),
-        F.max(F.when(F.col("_v").isNull(), F.col("_cum")).otherwise(0)).alias("_below"),
-    )
-    sound = (F.col("_below") < low_rank) & F.col("_high").isNotNull()
-    exact = F.col("_low") + (F.col("_high") - F.col("_low")) * (place - F.floor(place))
-    return picked.select(
-        *keys,
-        "probability",
-        F.when(sound, exact).otherwise(F.raise_error(F.lit("quantile bracket missed its rank"))).alias("quantile"),
-        "n",
+        F.max(F.when(F.col("_side") < 0, F.col("_cum")).otherwise(0)).alias("_below"),
+        F.max(F.when(F.col("_side") <= 0, F.col("_cum")).otherwise(0)).alias("_to"),
     )
+    sound = (low_rank >= F.col("_below")) & (high_rank <= F.col("_to") + 1)
+    quantile = F.col("_low") + (F.col("_high") - F.col("_low")) * (place - F.floor(place))
+    return picked.select(*keys, "probability", quantile.alias("quantile"), "n", sound.alias("sound"))
+
+
+def exact_quantiles(
+    df: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float], accuracy: int = 10_000
+) -> DataFrame:
+    """Exact linearly interpolated quantiles for a few keys with arbitrarily many rows each.
+
+    Output: ``keys``, ``probability``, ``quantile``, ``n``. A rank sketch brackets every wanted
+    order statistic; rows outside a bracket are only counted, and equal values inside it are counted
+    together, so the ranking window sees about n * 10 / accuracy values at most. A bracket that misses
+    its rank is widened and tried again; groups of any size take the same way.
+
+    The number of distinct ``keys`` must be small and fixed (it is broadcast).
+    """
+    margin = 5 / accuracy
+    while True:
+        found = stage(_bracketed_quantiles(df, keys, value, probabilities, accuracy, margin), "quantiles")
+        if margin >= 1 or found.filter("not sound").isEmpty():
+            return found.drop("sound")
+        margin *= 10
