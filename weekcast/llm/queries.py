@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weekcast.llm import harmonic_packing, link_trust, rule_cascade, simhash_bytes, string_kernel, token_codes, toxic_segments, zstd_quality
+from weekcast.llm import fuzzy_lines, harmonic_packing, link_trust, rule_cascade, simhash_bytes, string_kernel, token_codes, toxic_segments, zstd_quality
 from weekcast.llm.training import held_out
 from weekcast.session import work_path
 
@@ -34,6 +34,13 @@ def op2_link_trust(spark: SparkSession, folder: str) -> DataFrame:
     return link_trust.judge(table(spark, folder, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_fuzzy_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Which lines of all documents go, because an earlier line is equal or nearly so."""
+    docs = table(spark, folder, "documents")
+    gone = fuzzy_lines.dropped_lines(docs)
+    return gone.select("doc_id", F.size("dropped").alias("n_dropped"), F.array_join("dropped", " ").alias("dropped"))
+
+
 #: A document is predicted to have label 1 from this score on.
 LEAST_SCORE = 0.3
 
@@ -85,6 +92,7 @@ def op10_harmonic_packing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_codes": op1_token_codes,
     "op2_link_trust": op2_link_trust,
+    "op4_fuzzy_lines": op4_fuzzy_lines,
     "op5_toxic_segments": op5_toxic_segments,
     "op6_string_kernel": op6_string_kernel,
     "op7_zstd_quality": op7_zstd_quality,
