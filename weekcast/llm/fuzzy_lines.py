@@ -143,3 +143,14 @@ def without_lines(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     joined = docs.join(gone, (F.xxhash64("text") == F.col("__version")) & docs["doc_id"].eqNullSafe(F.col("__doc")), "left")
     rest = F.array_join(F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains("__dropped", i)), "\n")
     return joined.select(*[F.when(F.col("__dropped").isNull(), F.col("text")).otherwise(rest).alias(c) if c == "text" else F.col(f"`{c}`") for c in columns])
+
+
+def deduplicated(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """``docs`` without repeated lines, and without documents that had words and have none left.
+
+    Where there is a column ``n_chars`` it follows the text.
+    """
+    gone = dropped_lines(docs, least)
+    bare = docs.withColumn("__worded", F.regexp_like("text", F.lit(WORD_CHARACTER)))
+    rest = without_lines(bare, gone).filter(~F.coalesce("__worded", F.lit(False)) | F.regexp_like("text", F.lit(WORD_CHARACTER))).drop("__worded")
+    return rest.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else rest

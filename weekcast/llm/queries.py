@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weekcast.llm import fuzzy_lines, harmonic_packing, link_trust, rule_cascade, simhash_bytes, string_kernel, token_codes, toxic_segments, zstd_quality
+from weekcast.llm import fuzzy_lines, harmonic_packing, link_trust, rule_cascade, simhash_bytes, string_kernel, string_tiling, token_codes, toxic_segments, zstd_quality
 from weekcast.llm.training import held_out
 from weekcast.session import work_path
 
@@ -34,6 +34,11 @@ def op2_link_trust(spark: SparkSession, folder: str) -> DataFrame:
     return link_trust.judge(table(spark, folder, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_string_tiling(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents that hold most of a benchmark item's words in tiles, with the item."""
+    return string_tiling.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op4_fuzzy_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Which lines of all documents go, because an earlier line is equal or nearly so."""
     docs = table(spark, folder, "documents")
@@ -92,6 +97,7 @@ def op10_harmonic_packing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_codes": op1_token_codes,
     "op2_link_trust": op2_link_trust,
+    "op3_string_tiling": op3_string_tiling,
     "op4_fuzzy_lines": op4_fuzzy_lines,
     "op5_toxic_segments": op5_toxic_segments,
     "op6_string_kernel": op6_string_kernel,

@@ -70,14 +70,19 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], ["doc_id", "print"])
+        prints = np.array([fingerprint(t.as_py()) for t in batch.column(2)], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints, pa.int64())], ["doc_id", "version", "print"])
+
+
+def version(text: str = "text") -> Column:
+    """A hash that tells texts of the same doc_id apart."""
+    return F.xxhash64(F.lit(1), F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and print (the 64 bits as a signed number) of every row of ``docs`` (doc_id, text)."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(_fingerprints, "doc_id long, print long")
+    """doc_id, version and print (the 64 bits as a signed number) of every row of ``docs`` (doc_id, text)."""
+    rows = docs.select(F.col("doc_id").cast("long"), version().alias("version"), F.col("text").cast("string"))
+    return rows.mapInArrow(_fingerprints, "doc_id long, version long, print long")
 
 
 def shared_bytes(difference: np.ndarray) -> np.ndarray:
@@ -178,7 +183,7 @@ def links(prints: DataFrame) -> DataFrame:
 
 
 def components(docs: DataFrame) -> DataFrame:
-    """doc_id, print and component_id of every row of ``docs``.
+    """doc_id, version, print and component_id of every row of ``docs``.
 
     component_id is the least doc_id that links of at most four differing bits lead to, itself included; rows with
     a null doc_id take part and are never the least unless there is no other. Texts without a word have fingerprint 0
@@ -191,7 +196,19 @@ def components(docs: DataFrame) -> DataFrame:
     placed = stage(placed, "placed-prints")
     firsts = placed.groupBy("component").agg(F.min("first").alias("component_id"))
     named = placed.join(firsts, "component").select("print", "component_id")
-    return rows.join(named, "print").select("doc_id", "print", "component_id")
+    return rows.join(named, "print").select("doc_id", "version", "print", "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component, that of the least doc_id; all columns stay.
+
+    Of several texts under that doc_id the one with the least hash stays, and of equal rows one. Rows without a
+    doc_id can't be named and all stay.
+    """
+    kept = components(docs.filter("doc_id is not null")).filter("doc_id = component_id").groupBy("doc_id").agg(F.min("version").alias("__version"))
+    named = docs.filter("doc_id is not null").withColumn("__version", version())
+    first = named.join(kept, ["doc_id", "__version"], "left_semi").dropDuplicates(["doc_id", "__version"]).select(*docs.columns)
+    return first.unionByName(docs.filter("doc_id is null"))
 
 
 def hexadecimal(value: str) -> Column:

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from weekcast.llm.rows import keep_rows
 from weekcast.llm.training import fit_logistic, labelled_sample, logistic
 
 WORD = re.compile(r"\w+")
@@ -199,3 +200,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(lambda b: _scores(b, model), "doc_id long, score double, passages array<struct<first_word:int,last_word:int,score:double>>")
+
+
+def without_toxic(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows of ``docs`` that score below ``least``, with all their columns."""
+
+    def test():
+        weights, calibration = Weights(model.weights), np.array(model.calibration)
+
+        def passes(text: str | None) -> bool:
+            words, segments = scan(text, weights, model)
+            return bool(logistic(calibration, np.array([features(len(words), segments, model)[:2]]))[0] < least)
+
+        return passes
+
+    return keep_rows(docs, test)
