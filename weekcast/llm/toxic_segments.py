@@ -30,6 +30,8 @@ LONGEST = 20_000
 MOST_TOKENS = 50_000
 PRIOR = 0.5
 LEAST_Z = 3.5
+#: Less than this is a matter of language or topic, however significant.
+LEAST_ODDS = 2.5
 LEAST_DRIFT = 0.05
 SIGNIFICANCE = 0.05
 EULER = 0.5772156649015329
@@ -150,7 +152,7 @@ def learn(docs: DataFrame, labels: DataFrame, learned: Column, sample: dict[int,
         counts = rows.mapInArrow(_counts, "token string, toxic long, others long").groupBy("token").agg(F.sum("toxic").alias("t"), F.sum("others").alias("o"))
         odds = F.log((F.col("t") + PRIOR) / (n_toxic - F.col("t") + PRIOR)) - F.log((F.col("o") + PRIOR) / (n_others - F.col("o") + PRIOR))
         z = odds / F.sqrt(1 / (F.col("t") + PRIOR) + 1 / (F.col("o") + PRIOR))
-        told = counts.select("token", "t", "o", odds.alias("odds"), z.alias("z")).filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "token").limit(MOST_TOKENS).collect()
+        told = counts.select("token", "t", "o", odds.alias("odds"), z.alias("z")).filter((F.col("z") >= LEAST_Z) & (F.col("odds") >= LEAST_ODDS)).orderBy(F.desc("z"), "token").limit(MOST_TOKENS).collect()
         weights = {r.token: r.odds for r in told}
         model = Model(weights, LEAST_DRIFT)
         seen = rows.mapInArrow(lambda b: _sample_features(b, model), "y long, n long, best double, top double, sum double")

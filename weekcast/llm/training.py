@@ -6,6 +6,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+LONG_WORD = 8
+
+
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     """Whether crc32 of the id's text leaves this remainder; false for a null id."""
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % modulus == remainder, F.lit(False))
@@ -21,7 +24,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learned: Col
 
     ``learned`` says which rows of ``labels`` may be learned from. Documents are chosen by a hash of their id;
     of a document labelled both ways the larger label counts; of an id with several texts the least excerpt
-    is taken. A text longer than ``longest`` characters gives an excerpt that begins at a place chosen by hash,
+    is taken, and so is one of near-copies, which show the same three least hashes of long words, for copies
+    are no further evidence. A text longer than ``longest`` characters gives an excerpt that begins at a place chosen by hash,
     so the sample's size in bytes is bounded too.
     """
     known = labels.filter(learned & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
@@ -33,7 +37,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learned: Col
     first = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.lit(1), F.length(text) - longest + 1)) + 1
     excerpt = F.substr(text, first.cast("int"), F.lit(longest))
     # At most sum(per_class) rows of two numbers.
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min(excerpt).alias("text"))
+    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min(excerpt).alias("text"))
+    long = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.length(w) >= LONG_WORD)
+    marks = F.slice(F.sort_array(F.array_distinct(F.transform(long, lambda w: F.xxhash64(w)))), 1, 3)
+    own = F.when(F.size("_marks") < 3, F.col("doc_id"))
+    copies = sample.withColumn("_marks", marks).groupBy("y", "_marks", own.alias("_own"))
+    return copies.agg(F.min_by(F.struct("doc_id", "text"), F.xxhash64("doc_id")).alias("_one")).select("_one.doc_id", "y", "_one.text")
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:
