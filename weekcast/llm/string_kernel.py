@@ -87,8 +87,9 @@ def learn(docs: DataFrame, learned: Column, per_language: int = PER_LANGUAGE) ->
     spot = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 30))
     shares = known.groupBy("lang").agg(F.count("*").alias("_n")).select("lang", (F.lit(float(per_language)) * (1 << 30) / F.col("_n")).alias("_most"))
     first = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.lit(1), F.length("text") - LONGEST + 1)) + 1
+    # A row per language, of which the model is made anyway: small, and without a shuffle of texts by language.
     rows = (
-        known.join(shares, "lang")
+        known.join(F.broadcast(shares), "lang")
         .filter(spot < F.col("_most"))
         .select("lang", F.substr("text", first.cast("int"), F.lit(LONGEST)).alias("text"), spot.alias("_spot"))
         .orderBy("_spot", "text")
