@@ -7,10 +7,18 @@ from pyspark.sql import Column, functions as F
 from weekcast.constants import CLIP_HIGH, CLIP_LOW, DIRECTION_BAND
 
 
+NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+
+
+def as_number(value: Column) -> Column:
+    """DOUBLE value of a plain decimal number, else NULL; a cast alone would also take ``1d`` or ``7F``."""
+    return F.when(F.regexp_like(value.cast("string"), F.lit(NUMBER)), value.try_cast("double"))
+
+
 def finite(value: Column) -> Column:
     """DOUBLE value, or NULL when it is not a finite number (text that does not parse included)."""
-    number = value.try_cast("double")
-    return F.when(~F.isnan(number) & (F.abs(number) < F.lit(float("inf"))), number)
+    number = as_number(value)
+    return F.when(F.abs(number) < F.lit(float("inf")), number)
 
 
 def non_negative(value: Column) -> Column:

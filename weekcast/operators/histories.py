@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from weekcast.functions.dates import compact_date, is_saturday, is_sunday, strict_date
+from weekcast.functions.numeric import as_number
 
 
 def same_value(a: Column, b: Column) -> Column:
     """Equal as JSON scalars: both missing, equal text, or equal numbers."""
-    return F.coalesce(a.eqNullSafe(b) | (a.try_cast("double") == b.try_cast("double")), F.lit(False))
+    return F.coalesce(a.eqNullSafe(b) | (as_number(a) == as_number(b)), F.lit(False))
 
 
 def _same_observation(a: Column, b: Column) -> Column:

@@ -45,12 +45,15 @@ def _clean_list(values: Column) -> Column:
 def normalize_items(items: DataFrame) -> DataFrame:
     """Trimmed and defaulted items with the first validation ``error`` (NULL when good).
 
-    ``items``: item_key (unique) and the fields of ``ITEM``; absent columns count as missing values.
+    ``items``: item_key (unique) and the fields of ``ITEM``, or rows that this function has returned; absent
+    columns count as missing values.
     """
     for field in ITEM.split(", "):
         name, kind = field.split(" ", 1)
         if name not in items.columns:
             items = items.withColumn(name, F.lit(None).cast(kind))
+        elif kind == "string":  # a stored table has dates where a file has text
+            items = items.withColumn(name, F.col(name).cast(kind))
     evidence = F.coalesce("evidence", F.lit("unverified"))
     kind = F.coalesce(
         "source_kind", F.when(evidence == "verified_secondary", "independent_media").otherwise("brand_announcement")
