@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from weekcast.constants import COUNTED_STATUSES, FINAL_FAILURES, VENDOR_A
 from weekcast.operators.scale import previous_value, running_total, spread_join
+from weekcast.session import stage
 
 RATE_SECONDS = 60
-BLOCK_MICROS = 3_600 * 1_000_000
 
 
 def counted(status: Column) -> Column:
@@ -50,49 +50,31 @@ def budgets(jobs: DataFrame, legacy: DataFrame, quotas: DataFrame) -> DataFrame:
     )
 
 
-def recent_calls(events: DataFrame, seconds: int = RATE_SECONDS) -> DataFrame:
+def recent_calls(events: DataFrame, seconds: int = RATE_SECONDS, counts: Column | None = None) -> DataFrame:
     """Add ``recent``: counted calls of the provider in the last ``seconds`` before each event.
 
-    Earlier calls only, strictly newer than ``ts - seconds``. A provider is cut into one-hour blocks;
-    the last minute of a block is handed to the next one, so a busy provider is many tasks.
-    ``events``: provider, ts (TIMESTAMP), status.
+    Earlier calls only, strictly newer than ``ts - seconds``; ``counts`` says which count, by default those of a
+    counted ``status``. A provider is cut into blocks of ``seconds`` and each event is handed to the next block
+    too, so a busy provider is many tasks. ``events``: provider, ts (TIMESTAMP) and what ``counts`` needs; all
+    other columns stay.
     """
-    micros = F.unix_micros("ts")
     span = seconds * 1_000_000
-    timed = events.withColumn("_us", micros).withColumn("_block", F.expr(f"_us div {BLOCK_MICROS}"))
-    to_next = F.col("_us") >= (F.col("_block") + 1) * BLOCK_MICROS - span
-    homes = F.when(to_next, F.array(F.col("_block"), F.col("_block") + 1)).otherwise(F.array("_block"))
-    spread = timed.withColumn("_home", F.explode(homes))
+    timed = events.withColumn("_us", F.unix_micros("ts")).withColumn("_block", F.expr(f"_us div {span}"))
+    spread = timed.withColumn("_home", F.explode(F.array("_block", F.col("_block") + 1)))
     near = Window.partitionBy("provider", "_home").orderBy("_us").rangeBetween(-(span - 1), -1)
-    return (
-        spread.withColumn("recent", F.count_if(counted(F.col("status"))).over(near))
-        .filter("_home = _block")
-        .drop("_us", "_block", "_home")
-    )
+    taken = counted(F.col("status")) if counts is None else counts
+    return spread.withColumn("recent", F.count_if(taken).over(near)).filter("_home = _block").drop("_us", "_block", "_home")
 
 
 def admissibility(proposals: DataFrame, jobs: DataFrame, legacy: DataFrame, quotas: DataFrame) -> DataFrame:
-    """Verdict per proposed call, as a report (no locks, nothing reserved).
+    """Verdict per proposed call, as if the calls were made one after the other by ``ts`` and ``id``.
 
+    Only calls that are granted take units, count against the rate and make later calls with their key repeats. A
+    verdict depends on earlier verdicts only, so the rounds here, which start with every call granted and judge
+    all calls by the grants of the round before, settle from the first call on and end at the one consistent answer.
     ``proposals``: id, provider, ts, units, dedupe_key; ``jobs``: provider, ts, period, units, status,
-    dedupe_key. Earlier proposals of the same provider and period count against limit and rate.
+    dedupe_key. ``units_before`` (granted in this run) and ``recent`` are null where no limit had to be looked at.
     """
-    period = F.date_format("ts", "yyyy-MM")
-    asked = proposals.withColumn("period", period).withColumn("_day", F.to_date("ts"))
-    order = [F.col("ts"), F.col("id")]
-    summed = running_total(asked, ["provider", "period"], "_day", order, F.col("units"), "units_before")
-    calls = (
-        asked.select("provider", "ts", F.lit("reserved").alias("status"), "id")
-        .unionByName(jobs.select("provider", "ts", "status"), allowMissingColumns=True)
-        .unionByName(
-            legacy.filter(F.col("provider") == VENDOR_A).select("provider", "ts", F.lit("reserved").alias("status")),
-            allowMissingColumns=True,
-        )
-    )
-    recent = recent_calls(calls).filter("id is not null").select("id", "recent")
-    firsts = asked.groupBy("dedupe_key").agg(F.min(F.struct(*order)).alias("_first"))
-    existing = jobs.filter(F.col("status") != "failed_before_send").select("dedupe_key").distinct().withColumn("_existing", F.lit(True))
-    keyed = spread_join(summed, firsts.join(existing, "dedupe_key", "left"), ["dedupe_key"])
     limits = quotas.join(spent_units(jobs, legacy), ["provider", "period"], "left").select(
         "provider",
         F.col("period").alias("_period"),
@@ -100,22 +82,39 @@ def admissibility(proposals: DataFrame, jobs: DataFrame, legacy: DataFrame, quot
         hard_limit(F.col("project_limit"), F.col("available"), F.col("reserve")).alias("hard_limit"),
         F.coalesce("counted_units", F.lit(0)).alias("_spent"),
     )
-    total = F.col("_spent") + F.col("units_before") + F.col("units")
-    return (
-        keyed.join(recent, "id")
-        .join(limits, "provider", "left")
-        .withColumn(
-            "verdict",
-            F.when(F.col("_period").isNull(), "no_quota")
-            .when(F.col("units") < 1, "invalid_units")
-            .when(F.col("period") != F.col("_period"), "period_expired")
-            .when(F.coalesce("_existing", F.lit(False)) | (F.col("_first") != F.struct(*order)), "existing_job")
-            .when(total > F.col("hard_limit"), "over_limit")
+    existing = jobs.filter(F.col("status") != "failed_before_send").select("dedupe_key").distinct().withColumn("_existing", F.lit(True))
+    asked = proposals.withColumn("period", F.date_format("ts", "yyyy-MM")).join(limits, "provider", "left")
+    fixed = (
+        F.when(F.col("_period").isNull(), "no_quota")
+        .when(F.col("units") < 1, "invalid_units")
+        .when(F.col("period") != F.col("_period"), "period_expired")
+        .when(F.coalesce("_existing", F.lit(False)), "existing_job")
+    )
+    asked = stage(spread_join(asked, existing, ["dedupe_key"]).withColumn("_fixed", fixed).drop("_existing", "_period"), "proposals")
+    known = jobs.filter(counted(F.col("status"))).select("provider", "ts")
+    known = stage(known.unionByName(legacy.filter(F.col("provider") == VENDOR_A).select("provider", "ts")), "known-calls")
+    known = known.withColumn("_granted", F.lit(True))
+    minute = F.date_trunc("minute", "ts")
+    open_calls = asked.filter("_fixed is null").drop("_fixed").withColumns({"_granted": F.lit(True), "_minute": minute})
+    order, changed = [F.col("ts"), F.col("id")], None
+    while changed != 0:
+        rated = recent_calls(open_calls.unionByName(known, allowMissingColumns=True), counts=F.col("_granted")).filter("id is not null")
+        summed = running_total(rated, ["provider"], "_minute", order, F.when(F.col("_granted"), F.col("units")).otherwise(0), "units_before")
+        firsts = open_calls.filter("_granted").groupBy("dedupe_key").agg(F.min(F.struct(*order)).alias("_first"))
+        verdict = (
+            F.when(F.col("_first") < F.struct(*order), "existing_job")
+            .when(F.col("_spent") + F.col("units_before") + F.col("units") > F.col("hard_limit"), "over_limit")
             .when(F.col("recent") >= F.col("per_minute"), "over_rate")
-            .otherwise("admissible"),
+            .otherwise("admissible")
         )
-        .select("id", "provider", "period", "units", "units_before", "recent", "verdict")
-    )
+        judged = spread_join(summed, firsts, ["dedupe_key"]).withColumn("verdict", verdict).drop("_first")
+        seen = Observation()
+        judged = stage(judged.observe(seen, F.count_if(F.col("_granted") != (F.col("verdict") == "admissible")).alias("n")), "verdicts")
+        changed = seen.get["n"]
+        open_calls = judged.withColumn("_granted", F.col("verdict") == "admissible").drop("verdict", "recent", "units_before")
+    shown = ["id", "provider", "period", "units", "units_before", "recent", "verdict"]
+    unread = {"verdict": F.col("_fixed"), "units_before": F.lit(None).cast("bigint"), "recent": F.lit(None).cast("bigint")}
+    return judged.select(*shown).unionByName(asked.filter("_fixed is not null").withColumns(unread).select(*shown))
 
 
 def allowed_edges() -> list[tuple[str | None, str]]:

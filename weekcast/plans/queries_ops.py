@@ -293,32 +293,44 @@ def rate_window(spark, folder):
 
 @query(
     "job_admissibility",
-    f"""WITH {_JOBS_SQL}, known AS (SELECT * FROM jobs WHERE event_type IN ('view', 'click')), asked AS (SELECT * FROM jobs WHERE event_type NOT IN ('view', 'click')),
-      old AS (SELECT provider, period, 1 AS units, ts FROM legacy),
-      spent AS (SELECT provider, sum(units) AS u FROM (SELECT provider, units FROM known WHERE status = 'saved' UNION ALL SELECT provider, units FROM old) GROUP BY 1),
-      before AS (SELECT *, coalesce(sum(units) OVER (PARTITION BY provider, period ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS units_before,
-        row_number() OVER (PARTITION BY dedupe_key ORDER BY ts, id) AS nth FROM asked),
-      calls AS (SELECT id, provider, ts FROM asked UNION ALL SELECT NULL, provider, ts FROM known WHERE status = 'saved' UNION ALL SELECT NULL, provider, ts FROM old),
-      rated AS (SELECT id, count(*) OVER (PARTITION BY provider ORDER BY epoch_us(ts) RANGE BETWEEN 59999999 PRECEDING AND 1 PRECEDING) AS recent FROM calls)
-      SELECT b.id, b.provider, b.period, b.units, CAST(units_before AS BIGINT) AS units_before, recent,
-        CASE WHEN q.period <> b.period THEN 'period_expired' WHEN nth > 1 OR b.dedupe_key IN (SELECT dedupe_key FROM known WHERE status = 'saved') THEN 'existing_job'
-             WHEN u + units_before + b.units > hard_limit THEN 'over_limit' WHEN recent >= per_minute THEN 'over_rate' ELSE 'admissible' END AS verdict
-      FROM before b JOIN rated r ON r.id = b.id JOIN quota q ON q.provider = b.provider JOIN spent s ON s.provider = b.provider""",
+    f"""WITH RECURSIVE {_JOBS_SQL}, known AS (SELECT * FROM jobs WHERE event_type IN ('view', 'click')), asked AS (SELECT * FROM jobs WHERE event_type NOT IN ('view', 'click')),
+      old AS (SELECT provider, period, 1 AS units, ts FROM legacy), made AS (SELECT provider, ts FROM known WHERE status = 'saved' UNION ALL SELECT provider, ts FROM old),
+      spent AS (SELECT provider, sum(units) AS u FROM (SELECT provider, period, units FROM known WHERE status = 'saved' UNION ALL SELECT provider, period, units FROM old)
+        JOIN quota USING (provider, period) GROUP BY 1),
+      told AS (SELECT a.*, q.hard_limit, q.per_minute, u, CASE WHEN q.period <> a.period THEN 'period_expired'
+          WHEN a.dedupe_key IN (SELECT dedupe_key FROM known WHERE status = 'saved') THEN 'existing_job' END AS fixed
+        FROM asked a JOIN quota q USING (provider) JOIN spent s USING (provider)),
+      open AS (SELECT t.*, row_number() OVER (PARTITION BY t.provider ORDER BY ts, id) AS nth, lead(id) OVER (PARTITION BY dedupe_key ORDER BY ts, id) IS NOT NULL AS again,
+          (SELECT count(*) FROM made k WHERE k.provider = t.provider AND k.ts < t.ts AND k.ts > t.ts - INTERVAL 60 SECOND) AS others FROM told t WHERE fixed IS NULL),
+      walk(provider, nth, taken, near, keys, id, period, units, units_before, recent, verdict) AS (
+        SELECT provider, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST([] AS TIMESTAMP[]), CAST([] AS VARCHAR[]), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS VARCHAR) FROM spent
+        UNION ALL
+        SELECT provider, nth, CASE WHEN verdict = 'admissible' THEN taken + units ELSE taken END, CASE WHEN verdict = 'admissible' THEN list_append(near, ts) ELSE near END,
+          CASE WHEN verdict = 'admissible' AND again THEN list_append(keys, dedupe_key) ELSE keys END, id, period, units, taken, recent, verdict
+        FROM (SELECT *, CASE WHEN list_contains(keys, dedupe_key) THEN 'existing_job' WHEN u + taken + units > hard_limit THEN 'over_limit' WHEN recent >= per_minute THEN 'over_rate' ELSE 'admissible' END AS verdict
+          FROM (SELECT *, others + len(list_filter(near, lambda x: x < ts)) AS recent
+            FROM (SELECT o.provider, o.nth, o.id, o.period, CAST(o.units AS BIGINT) AS units, CAST(o.ts AS TIMESTAMP) AS ts, o.dedupe_key, o.again, o.others, o.u, o.hard_limit, o.per_minute, w.taken, w.keys,
+                list_filter(w.near, lambda x: x > CAST(o.ts AS TIMESTAMP) - INTERVAL 60 SECOND) AS near
+              FROM walk w JOIN open o ON o.provider = w.provider AND o.nth = w.nth + 1))))
+      SELECT id, provider, period, units, units_before, recent, verdict FROM walk WHERE nth > 0
+      UNION ALL SELECT id, provider, period, units, NULL, NULL, fixed FROM told WHERE fixed IS NOT NULL""",
 )
 def job_admissibility(spark, folder):
-    """L4: limit, rate, period and repeat verdict of proposed calls."""
+    """L4: limit, rate, period and repeat verdict of proposed calls, made one after the other."""
     rows = jobs(spark, folder)
     known = rows.filter(F.col("event_type").isin("view", "click"))
     asked = rows.filter(~F.col("event_type").isin("view", "click")).select("id", "provider", "ts", "units", "dedupe_key")
     return G.admissibility(asked, known, legacy_rows(spark, folder), quotas(spark))
 
 
-_EDGES_SQL = ", ".join(f"({'NULL' if a is None else repr(a)}, {b!r})" for a, b in G.allowed_edges())
 
 
 @query(
     "transition_audit",
-    f"""WITH {_JOBS_SQL}, edges(source, target) AS (VALUES {_EDGES_SQL}),
+    f"""WITH {_JOBS_SQL}, edges(source, target) AS (VALUES (NULL, 'reserved'), ('failed_before_send', 'reserved'), ('reserved', 'calling'), ('calling', 'received'), ('received', 'staged'),
+        ('failed_invalid_response', 'staged'), ('staged', 'saved'), ('reserved', 'failed_before_send')
+        UNION ALL SELECT source, target FROM (VALUES ('calling'), ('received'), ('staged'), ('saved')) s(source),
+          (VALUES ('failed_unknown_charge'), ('failed_provider'), ('failed_invalid_response'), ('failed_storage'), ('corrupt_file')) f(target)),
       stepped AS (SELECT user_id AS job_id, id AS event_id, lag(status) OVER (PARTITION BY user_id ORDER BY ts, id) AS previous, status FROM jobs)
       SELECT s.* FROM stepped s WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.source IS NOT DISTINCT FROM s.previous AND e.target = s.status)""",
 )
