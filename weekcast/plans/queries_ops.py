@@ -223,11 +223,15 @@ _STATUS_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in
 
 def jobs(spark, folder):
     """Events as job records."""
+    return job_rows(T.table(spark, folder, "events"))
+
+
+def job_rows(events):
     status = F.lit(None).cast("string")
     for event, state in STATUS_OF.items():
         status = F.when(F.col("event_type") == event, state).otherwise(status)
     ts = F.col("ts").cast("timestamp")
-    return T.table(spark, folder, "events").select(
+    return events.select(
         F.col("event_id").alias("id"),
         F.when(F.col("user_id") % 2 == 0, VENDOR_A).otherwise(VENDOR_B).alias("provider"),
         F.date_format(ts, "yyyy-MM").alias("period"),
@@ -297,10 +301,10 @@ def rate_window(spark, folder):
       old AS (SELECT provider, period, 1 AS units, ts FROM legacy), made AS (SELECT provider, ts FROM known WHERE status = 'saved' UNION ALL SELECT provider, ts FROM old),
       spent AS (SELECT provider, sum(units) AS u FROM (SELECT provider, period, units FROM known WHERE status = 'saved' UNION ALL SELECT provider, period, units FROM old)
         JOIN quota USING (provider, period) GROUP BY 1),
-      told AS (SELECT a.*, q.hard_limit, q.per_minute, u, CASE WHEN q.period <> a.period THEN 'period_expired'
+      told AS MATERIALIZED (SELECT a.*, q.hard_limit, q.per_minute, u, CASE WHEN q.period <> a.period THEN 'period_expired'
           WHEN a.dedupe_key IN (SELECT dedupe_key FROM known WHERE status = 'saved') THEN 'existing_job' END AS fixed
         FROM asked a JOIN quota q USING (provider) JOIN spent s USING (provider)),
-      open AS (SELECT t.*, row_number() OVER (PARTITION BY t.provider ORDER BY ts, id) AS nth, lead(id) OVER (PARTITION BY dedupe_key ORDER BY ts, id) IS NOT NULL AS again,
+      open AS MATERIALIZED (SELECT t.*, row_number() OVER (PARTITION BY t.provider ORDER BY ts, id) AS nth, lead(id) OVER (PARTITION BY dedupe_key ORDER BY ts, id) IS NOT NULL AS again,
           (SELECT count(*) FROM made k WHERE k.provider = t.provider AND k.ts < t.ts AND k.ts > t.ts - INTERVAL 60 SECOND) AS others FROM told t WHERE fixed IS NULL),
       walk(provider, nth, taken, near, keys, id, period, units, units_before, recent, verdict) AS (
         SELECT provider, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST([] AS TIMESTAMP[]), CAST([] AS VARCHAR[]), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS VARCHAR) FROM spent
@@ -448,12 +452,7 @@ def event_stream(spark, folder):
     """The events file as a stream, in the shape of ledger calls."""
     schema = T.table(spark, folder, "events").schema
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
-    ts = F.col("ts").cast("timestamp")
-    return rows.select(
-        F.when(F.col("user_id") % 2 == 0, VENDOR_A).otherwise(VENDOR_B).alias("provider"),
-        F.concat_ws("|", F.col("user_id").cast("string"), "event_type", F.to_date(ts).cast("string")).alias("dedupe_key"),
-        ts.alias("ts"),
-    )
+    return job_rows(rows).select("provider", "dedupe_key", "ts", "status")
 
 
 @query("stream_dedupe", f"WITH {_JOBS_SQL} SELECT dedupe_key, provider FROM jobs GROUP BY 1, 2")
@@ -466,13 +465,13 @@ def stream_dedupe(spark, folder):
 
 @query(
     "stream_rate",
-    f"""WITH {_JOBS_SQL}, spread AS (SELECT provider, ts, unnest(range(6)) AS k FROM jobs),
+    f"""WITH {_JOBS_SQL}, spread AS (SELECT provider, ts, unnest(range(6)) AS k FROM jobs WHERE status <> 'failed_before_send'),
       windows AS (SELECT provider, (epoch_us(ts) // 10000000 - k) * 10000000 AS start_us, count(*) AS calls FROM spread GROUP BY 1, 2)
       SELECT provider, strftime(make_timestamp(start_us), '%Y-%m-%d %H:%M:%S') AS window_start, strftime(make_timestamp(start_us + 60000000), '%Y-%m-%d %H:%M:%S') AS window_end, calls
       FROM windows WHERE start_us + 60000000 <= (SELECT max(epoch_us(ts)) - 300000000 FROM jobs)""",
 )
 def stream_rate(spark, folder):
-    """Calls per minute and provider, windows closed by the watermark."""
+    """Counted calls per minute and provider, windows closed by the watermark."""
     path = work_path(spark, "rate")
     L.run_to_table(L.call_rate(event_stream(spark, folder)), f"{path}/out", f"{path}/check")
     shown = {c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("window_start", "window_end")}

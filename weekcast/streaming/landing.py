@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from weekcast.operators.ledger import counted
 from weekcast.sources.landing import split_quarantine, validate_vendor_a
 
 
@@ -53,10 +54,14 @@ def first_jobs(events: DataFrame, delay: str = "1 day") -> DataFrame:
 
 
 def call_rate(events: DataFrame, width: str = "60 seconds", slide: str = "10 seconds", delay: str = "5 minutes") -> DataFrame:
-    """Calls per provider and sliding window; events behind the watermark are dropped."""
+    """Counted calls (by ``status``) per provider and sliding window; events behind the watermark are dropped.
+
+    A window comes out once the watermark has passed its end, so the newest ones wait for later events.
+    """
     window = F.window("ts", width, slide)
     return (
         events.withWatermark("ts", delay)
+        .filter(counted(F.col("status")))
         .groupBy("provider", window.alias("w"))
         .agg(F.count("*").alias("calls"))
         .select("provider", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "calls")
