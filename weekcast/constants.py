@@ -49,7 +49,6 @@ ABLATIONS = {
     "google_ablation_with_aba_matched_cases": ("ridge_aba", "ridge_all"),
     "aba_ablation_with_google_matched_cases": ("ridge_google", "ridge_all"),
 }
-SPLITS = ("validation", "sealed_test", "group_validation", "group_sealed_test")
 SEALED_SPLITS = ("sealed_test", "group_sealed_test")
 
 # --- Fixed values: vendors, tools and request shapes -------------------------

@@ -77,28 +77,6 @@ def align(amazon: DataFrame, trend: DataFrame) -> DataFrame:
     return gap_fill(inside.drop("_lo", "_hi", "_own"))
 
 
-def attach_trend(panel: DataFrame, trend: DataFrame) -> DataFrame:
-    """Left join of the (already lagged) trend on ingredient and week."""
-    wanted = trend.select("ingredient_id", "week_end", F.col("value").alias("google_trend"))
-    return panel.drop("google_trend").join(wanted, ["ingredient_id", "week_end"], "left")
-
-
-def usable_trend(trend: DataFrame) -> DataFrame:
-    """Trend rows of ingredients whose whole trend history is acceptable.
-
-    One label that is not a Sunday, or one repeated week, voids the ingredient's trend (its panel
-    rows stay, with NULL trend). ``trend`` has ingredient_id, start (DATE) and value.
-    """
-    weekly = trend.groupBy("ingredient_id", "start").agg(F.count("*").alias("n"), F.max("value").alias("value"))
-    verdict = weekly.groupBy("ingredient_id").agg(
-        F.bool_and(F.coalesce(is_sunday(F.col("start")), F.lit(False)) & (F.col("n") == 1)).alias("trend_ok")
-    )
-    good = weekly.join(verdict.filter("trend_ok"), "ingredient_id", "left_semi")
-    return good.select(
-        "ingredient_id", F.date_add("start", 6).alias("week_end"), within_percent(F.col("value")).alias("value")
-    )
-
-
 def value_quality(raw: DataFrame) -> DataFrame:
     """Per ingredient: how many raw searches and ranks are not usable numbers."""
     return raw.groupBy("ingredient_id").agg(

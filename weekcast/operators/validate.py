@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from weekcast.constants import MARKETPLACE, VENDORS
 from weekcast.functions.dates import is_saturday
+from weekcast.session import stage
 
 REQUIRED = ("ingredient_id", "week_end", "searches")
 
@@ -25,12 +27,19 @@ def _violation(rows: DataFrame, rule: str, detail: Column, week: bool = True) ->
     )
 
 
-def missing_keys(panel: DataFrame) -> DataFrame:
-    return _violation(panel.filter("ingredient_id is null or week_end is null"), "missing_key", F.lit(None))
-
-
-def not_saturday(panel: DataFrame) -> DataFrame:
-    return _violation(panel.filter(~is_saturday(F.col("week_end"))), "week_end_not_saturday", F.dayofweek("week_end"))
+def row_violations(panel: DataFrame) -> DataFrame:
+    """Rules of single rows, in one projection: keys, Saturdays, agreement of the two provider fields."""
+    saturday = is_saturday(F.col("week_end"))
+    rules = [
+        ("missing_key", F.col("ingredient_id").isNull() | F.col("week_end").isNull(), F.lit(None)),
+        ("week_end_not_saturday", ~saturday, F.dayofweek("week_end")),
+    ]
+    if {"amazon_provider", "amazon_source"} <= set(panel.columns):
+        folded = [F.lower(F.coalesce(c, F.lit(""))) for c in ("amazon_provider", "amazon_source")]
+        rules.append(("provider_fields_disagree", folded[0] != folded[1], F.concat_ws(",", *folded)))
+    broken = F.array_compact(F.array(*[F.when(bad, F.struct(F.lit(rule).alias("rule"), detail.cast("string").alias("detail"))) for rule, bad, detail in rules]))
+    found = panel.select("ingredient_id", "week_end", F.explode(broken).alias("_broken"))
+    return found.select("_broken.rule", "ingredient_id", "week_end", "_broken.detail")
 
 
 def duplicate_weeks(panel: DataFrame) -> DataFrame:
@@ -38,11 +47,14 @@ def duplicate_weeks(panel: DataFrame) -> DataFrame:
     return _violation(counted, "duplicate_week", F.col("n"))
 
 
-def not_single_valued(panel: DataFrame, column: str) -> DataFrame:
-    """Ingredients with more than one value of ``column`` (least and greatest differ)."""
-    value = F.lower(column) if column == "amazon_provider" else F.col(column)
-    spread = panel.groupBy("ingredient_id").agg(F.min(value).alias("lo"), F.max(value).alias("hi")).filter("lo <> hi")
-    return _violation(spread, f"several_{column}", F.concat_ws(",", "lo", "hi"), week=False)
+def not_single_valued(panel: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Ingredients with more than one value of a column (least and greatest differ); one aggregate for all columns."""
+    value = {c: F.lower(c) if c == "amazon_provider" else F.col(c) for c in columns}
+    spread = panel.groupBy("ingredient_id").agg(*[x for c, v in value.items() for x in (F.min(v).alias(f"{c}_lo"), F.max(v).alias(f"{c}_hi"))])
+    lo_hi = {c: (F.col(f"{c}_lo"), F.col(f"{c}_hi")) for c in columns}
+    broken = [F.when(lo != hi, F.struct(F.lit(f"several_{c}").alias("rule"), F.concat_ws(",", lo, hi).alias("detail"))) for c, (lo, hi) in lo_hi.items()]
+    found = spread.select("ingredient_id", F.explode(F.array_compact(F.array(*broken))).alias("_broken"))
+    return found.select("_broken.rule", "ingredient_id", F.lit(None).cast("date").alias("week_end"), "_broken.detail")
 
 
 def foreign_marketplace(panel: DataFrame) -> DataFrame:
@@ -51,11 +63,6 @@ def foreign_marketplace(panel: DataFrame) -> DataFrame:
     return _violation(found, "foreign_marketplace", F.col("marketplace"), week=False)
 
 
-def provider_fields_disagree(panel: DataFrame) -> DataFrame:
-    folded = [F.lower(F.coalesce(c, F.lit(""))) for c in ("amazon_provider", "amazon_source")]
-    return _violation(panel.filter(folded[0] != folded[1]), "provider_fields_disagree", F.concat_ws(",", *folded))
-
-
 def panel_providers(panel: DataFrame) -> DataFrame:
     """Providers of a panel that break the one-supported-provider policy."""
     found = panel.groupBy(F.lower(F.coalesce("amazon_provider", F.lit(""))).alias("provider")).agg(F.count("*").alias("n"))
@@ -70,17 +77,15 @@ def panel_providers(panel: DataFrame) -> DataFrame:
 
 
 def panel_violations(panel: DataFrame) -> DataFrame:
-    """All expectations on one panel as a single long table."""
-    checks = [missing_keys(panel), not_saturday(panel), duplicate_weeks(panel)]
-    for column in ("family_id", "marketplace", "amazon_provider"):
-        if column in panel.columns:
-            checks.append(not_single_valued(panel, column))
+    """All expectations on one panel as a single long table; the panel is written once and read by all checks."""
+    panel = stage(panel, "checked-panel")
+    checks = [row_violations(panel), duplicate_weeks(panel)]
+    if single := [c for c in ("family_id", "marketplace", "amazon_provider") if c in panel.columns]:
+        checks.append(not_single_valued(panel, single))
     if "marketplace" in panel.columns:
         checks.append(foreign_marketplace(panel))
     if "amazon_provider" in panel.columns:
         checks.append(panel_providers(panel))
-        if "amazon_source" in panel.columns:
-            checks.append(provider_fields_disagree(panel))
     return reduce(DataFrame.unionByName, checks)
 
 

@@ -204,7 +204,7 @@ def vendor_b_batches(spark: SparkSession, folder: str) -> tuple[DataFrame, DataF
     grouped = entries.groupBy("batch_id").agg(
         F.sort_array(F.collect_list(entry)).alias("answers"), F.array_sort(F.collect_list(F.upper("keyword"))).alias("keywords")
     )
-    answers = F.when(F.col("batch_id") == 3, F.slice("answers", 2, 10)).otherwise(F.col("answers"))
+    answers = F.when(F.col("batch_id") == 3, F.slice("answers", F.lit(2), F.size("answers"))).otherwise(F.col("answers"))
     body = F.to_json(F.struct(F.lit("US").alias("country"), F.lit("week").alias("granularity"), answers.alias("keywords")))
     batches = grouped.select("batch_id", "keywords", _wrap(body).alias("result"))
     return batches, entries.select("batch_id", F.col("ingredient_id").alias("id"), "keyword")

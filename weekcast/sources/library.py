@@ -57,9 +57,3 @@ def with_context(ingredients: DataFrame, quality: DataFrame, auxiliary: DataFram
     for side in (quality, auxiliary, competition):
         rows = rows.join(side, "ingredient_id", "left")
     return rows
-
-
-def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "^\\uFEFF", "").alias("text")
-    )
