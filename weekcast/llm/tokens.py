@@ -35,7 +35,7 @@ class ChunkCodes(dict):
     of at most ``keep`` pieces each are remembered, so rare pieces are forgotten and memory is bounded.
     """
 
-    def __init__(self, path: str, keep: int = 450_000):
+    def __init__(self, path: str, keep: int = 250_000):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # the names of special tokens in a text are ordinary text

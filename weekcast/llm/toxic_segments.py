@@ -56,7 +56,7 @@ def tokens(word: str) -> list[str]:
 class Weights(dict):
     """word -> weight (0.0: none), remembered for at most ``keep`` words."""
 
-    def __init__(self, known: dict[str, float], keep: int = 500_000):
+    def __init__(self, known: dict[str, float], keep: int = 100_000):
         super().__init__()
         self.known, self.keep = known, keep
 
