@@ -4,6 +4,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from weekcast import session
 from weekcast.operators import scale
 from weekcast.operators.components import connected_components
 
@@ -20,6 +21,18 @@ def test_exact_quantiles_match_numpy(spark, accuracy):
         assert row["quantile"] == pytest.approx(np.quantile(frame.v[frame.g == row["g"]], row["probability"]))
 
 
+def test_staged_tables_can_be_released(spark):
+    session.release_staged(spark)
+    kept = session.work_path(spark, "kept")
+    spark.range(3).write.parquet(kept)
+    tables = [session.stage(spark.range(n), "some") for n in (4, 5)]
+    assert [t.count() for t in tables] == [4, 5]
+    assert session.release_staged(spark) == 2 and session.release_staged(spark) == 0
+    assert spark.read.parquet(kept).count() == 3
+    with pytest.raises(Exception, match="(?i)not.exist|not_found|no such file"):
+        spark.read.parquet(tables[0].inputFiles()[0]).count()
+
+
 def test_global_index_is_a_dense_total_order(spark):
     df = spark.range(5000).select(F.xxhash64("id").alias("k"), "id").repartition(7)
     rows = scale.global_index(df, F.col("k")).orderBy("position").collect()

@@ -47,6 +47,10 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/weekcast/{name}-{uuid.uuid4().hex}"
 
 
+#: Folders that ``stage`` has written in this process and that are still there.
+_STAGED: list[str] = []
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate table to the shared folder and go on from the files.
 
@@ -54,5 +58,19 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     readers prune columns and filter as with any Parquet table.
     """
     path = work_path(df.sparkSession, name)
+    _STAGED.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release_staged(spark: SparkSession) -> int:
+    """Delete all tables that ``stage`` has written in this process; call it when nothing that reads them is needed.
+
+    Returns how many there were. Published tables and those of other processes aren't touched.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    released = len(_STAGED)
+    while _STAGED:
+        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return released
