@@ -106,4 +106,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_rule_cascade": op9_rule_cascade,
     "op10_harmonic_packing": op10_harmonic_packing,
 }
-ORACLES: dict[str, str] = {}
+_MEASURES_SQL = r"""
+WITH texts AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS t FROM documents),
+split AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM texts),
+places AS (SELECT rid, i, ws[i:i + 4] AS win FROM (SELECT rid, ws, unnest(range(1, len(ws) - 3)) AS i FROM split WHERE len(ws) >= 5)),
+again AS (SELECT rid, i FROM places QUALIFY count(*) OVER (PARTITION BY rid, win) > 1),
+covered AS (SELECT rid, count(DISTINCT i + k) AS n FROM again, (SELECT unnest(range(5)) AS k) GROUP BY rid),
+measured AS (SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+  len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+  length(regexp_replace(t, '[^\p{Lu}]+', '', 'g')) AS capitals, length(t) - length(replace(t, '!', '')) AS exclamations FROM split LEFT JOIN covered USING (rid)),
+based AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM measured)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 100 * n_symbols > 10 * n_words OR 100 * n_dup_lines > 30 * n_lines OR word_chars < 2 * n_words OR word_chars > 20 * n_words
+    OR 100 * capitals > 30 * word_chars OR 100 * exclamations > 10 * n_words) AS kept
+FROM based"""
+
+#: The others rest on tokenizers, fitted models, signatures or rounds; the tests compare them with brute force.
+ORACLES: dict[str, str] = {"op9_rule_cascade": _MEASURES_SQL}
