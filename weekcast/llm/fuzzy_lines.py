@@ -1,7 +1,7 @@
 """Fuzzy line deduplication over all documents by MinHash, with column functions and joins only.
 
-A line is compared in lower case without outer blanks. Its signature comes from character shingles of up to
-``SHINGLE`` characters that begin at its words and reach into the next one: a hash orders them, and the least and the greatest few of
+A line is compared in lower case without outer blanks. Its signature comes from character shingles that begin
+at its words and reach ``REACH`` characters into the next one: a hash orders them, and the least and the greatest few of
 that order are the minima of two orders. Each pair of neighbours among them is a band, and lines that share a
 band are candidates. Of the few shingles at either end a pair with Jaccard similarity 0.8 shares two
 neighbours with probability 0.9 at least, so it misses both ends with about 0.01 (at 0.9: 0.001).
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from weekcast.operators.components import connected_components
 from weekcast.session import stage
 
-SHINGLE = 12
+REACH = 6
 #: Shingles kept at either end of the order; one band fewer than this at either end.
 ENDS = 4
 GRAM = 5
@@ -48,9 +48,7 @@ def bands(line: Column) -> Column:
     """Band keys of a line: hashes of neighbours at both ends of its ordered shingle hashes."""
 
     def of_words(words: Column) -> Column:
-        at = F.sequence(F.lit(0), F.size(words) - 1)
-        begun = lambda i: F.substring(F.concat_ws(" ", F.get(words, i), F.get(words, i + 1)), 1, SHINGLE)
-        return F.sort_array(F.transform(at, lambda i: F.xxhash64(begun(i))))
+        return F.sort_array(F.transform(words, lambda w, i: F.xxhash64(w, F.substring(F.get(words, i + 1), 1, REACH))))
 
     def ends(hashes: Column) -> Column:
         low = F.slice(hashes, 1, ENDS)
