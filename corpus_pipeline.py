@@ -11,6 +11,8 @@ from weekcast.session import work_path
 
 END_ID = 2
 LEAST_TOXIC = 0.3
+#: Chunks of text remembered in a Python worker; few, for executors also hold what the other stages have left.
+KEEP = 80_000
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +39,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of the documents that are left, placed in sequences."""
-    packed = harmonic_packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), END_ID)
+    packed = harmonic_packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), END_ID, keep=KEEP)
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

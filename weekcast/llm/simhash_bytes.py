@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from weekcast.llm.rows import free_token_memory
 from weekcast.operators.components import connected_components
 from weekcast.session import stage
 
@@ -69,6 +70,7 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    free_token_memory()
     for batch in batches:
         prints = np.array([fingerprint(t.as_py()) for t in batch.column(2)], np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints, pa.int64())], ["doc_id", "version", "print"])

@@ -14,6 +14,8 @@ from tokenizers import Tokenizer
 #: A chunk: leading white space, visible characters, and white space that doesn't begin with a blank or line feed.
 CHUNK = re.compile(r"\s*\S+(?:(?![ \n])\s+\S*)*|\s+")
 CLOSING = ".,!?;:"
+#: Pieces remembered in each of two generations, some 200 bytes each.
+KEEP = 250_000
 #: Longer pieces are encoded each time, so that the memory's size in bytes is bounded too.
 LONGEST_KEPT = 64
 
@@ -35,7 +37,7 @@ class ChunkCodes(dict):
     of at most ``keep`` pieces each are remembered, so rare pieces are forgotten and memory is bounded.
     """
 
-    def __init__(self, path: str, keep: int = 250_000):
+    def __init__(self, path: str, keep: int = KEEP):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # the names of special tokens in a text are ordinary text
@@ -109,11 +111,16 @@ class ChunkCodes(dict):
         return self.raw(first) + b"".join(map(self.__getitem__, pieces))
 
 
-_CODES: dict[str, ChunkCodes] = {}
+_CODES: dict[tuple[str, int], ChunkCodes] = {}
 
 
-def codes_for(path: str) -> ChunkCodes:
-    """One memory of chunks per tokenizer and Python worker."""
-    if path not in _CODES:
-        _CODES[path] = ChunkCodes(path)
-    return _CODES[path]
+def codes_for(path: str, keep: int = KEEP) -> ChunkCodes:
+    """One memory of chunks per Python worker; another tokenizer or size takes its place."""
+    if (path, keep) not in _CODES:
+        _CODES.clear()
+        _CODES[path, keep] = ChunkCodes(path, keep)
+    return _CODES[path, keep]
+
+
+def forget() -> None:
+    _CODES.clear()

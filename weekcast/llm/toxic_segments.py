@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from weekcast.llm.rows import keep_rows
+from weekcast.llm.rows import free_token_memory, keep_rows
 from weekcast.llm.training import fit_logistic, labelled_sample, logistic
 
 WORD = re.compile(r"\w+")
@@ -116,6 +116,7 @@ def features(n_words: int, segments: list[tuple[int, int, float]], model: Model)
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(token, toxic, others): how many documents of either kind have it; summed per batch."""
+    free_token_memory()
     for batch in batches:
         seen = {0: Counter(), 1: Counter()}
         for y, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
