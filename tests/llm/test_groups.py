@@ -152,6 +152,26 @@ def test_exact_jaccard_of_short_and_long_lines(spark):
     assert got == [pytest.approx(len(a & b) / len(a | b)) for a, b in sets]
 
 
+def test_all_similar_lines_of_a_band_are_joined(spark):
+    """One band holds all lines, so but for one group its least line is a stranger."""
+    rng = np.random.default_rng(9)
+    text = lambda n: "".join(rng.choice(list("abcdefghijklmnop"), n))
+    groups = []
+    for _ in range(4):
+        ends = [text(30), text(30)]
+        body = text(300)
+        groups.append([body, body + ends[0], ends[1] + body, text(340)])
+    lines = [x for g in groups for x in g] + [text(200) for _ in range(20)]
+    hashes = {x: int(np.uint64(xxhash.xxh64_intdigest(x.encode(), 42)).astype(np.int64)) for x in lines}
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    placed = [(hashes[x], k, [7, 8 + k % 2]) for k, x in enumerate(lines)]
+    found = L.links(docs, spark.createDataFrame(placed, "hash long, first_doc long, bands array<long>")).collect()
+    sets, at = line_sets(lines), {hashes[x]: k for k, x in enumerate(lines)}
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(near) >= 8
+    assert joined_by_hand(len(lines), [(at[r["u"]], at[r["v"]]) for r in found]) == joined_by_hand(len(lines), near)
+
+
 # Tiles
 
 

@@ -6,9 +6,11 @@ that order are the minima of two orders. Each pair of neighbours among them is a
 band are candidates. Of the few shingles at either end a pair with Jaccard similarity 0.8 shares two
 neighbours with probability 0.9 at least, so it misses both ends with about 0.01 (at 0.9: 0.001).
 
-Each line of a band is compared with the band's least line, never all pairs. Candidates are verified exactly:
-Jaccard similarity of their sets of all ``GRAM``-character shingles of at least ``LEAST``. Union-find over the
-verified links and equal lines gives components, and the first line of each, by doc_id and line number, stays.
+Each line of a band is compared with the band's least line first. Pairs of the others are compared where that
+has left them in different components, unless a filter that loses none shows that they can't be similar.
+Candidates are verified exactly: Jaccard similarity of their sets of all ``GRAM``-character shingles of at least
+``LEAST``. Union-find over the verified links and equal lines gives components, the same as from all pairs of a
+band, and the first line of each, by doc_id and line number, stays.
 
 Lines go by a 64-bit hash; two different lines with the same hash would count as equal lines.
 """
@@ -76,11 +78,49 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.transform(both, share)[0]
 
 
+def _verified(pairs: DataFrame, texts: DataFrame, least: float, name: str) -> DataFrame:
+    """Those of ``pairs`` (u, v) whose lines in ``texts`` (hash, line) are similar, written."""
+    read = pairs.join(texts.select(F.col("hash").alias("u"), F.col("line").alias("_a")), "u").join(texts.select(F.col("hash").alias("v"), F.col("line").alias("_b")), "v")
+    return stage(read.filter(jaccard(F.col("_a"), F.col("_b")) >= least).select("u", "v"), name)
+
+
+def rest_of_bands(shared: DataFrame, joined: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Pairs (u, v) of lines that share a band but no component yet, without those that can't be similar.
+
+    ``shared`` has (key, u: its least line, hash), ``joined`` the components (node, component). Of a line's shingles,
+    the rarest first, so many come first that similar lines have one of them in common (Chaudhuri et al., "A
+    primitive operator for similarity joins", 2006). Lines that meet in a band and such a shingle are paired, except
+    within a component, so a shingle of many linked lines costs one pair per line and stranger.
+    """
+    others = shared.filter("u < hash").join(joined, shared["hash"] == joined["node"], "left").select("key", "hash", F.coalesce("component", "hash").alias("component"))
+    others = stage(others, "band-others")
+    open_bands = others.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).filter("_a < _b")
+    members = stage(others.join(open_bands, "key", "left_semi"), "band-members")
+    cut = members.select("hash").distinct().join(texts, "hash").select("hash", shingles(F.col("line")).alias("_all"))
+    grams = stage(cut.select("hash", F.size("_all").alias("size"), F.explode("_all").alias("gram")), "line-grams")
+    counted = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("hash").orderBy("n", "gram"))
+    first = grams.join(counted, "gram").withColumn("_place", place).filter(F.col("_place") <= F.floor(F.col("size") * (1 - least) + 1e-6) + 1)
+    first = first.filter("n > 1").select("gram", "hash", "size").join(members, "hash")
+    first = stage(first.select(F.xxhash64("key", "gram").alias("gram"), "hash", "component", "size"), "rare-grams")
+    most = first.groupBy("gram", "component").agg(F.count("*").alias("_n")).groupBy("gram").agg(F.max_by("component", "_n").alias("_most"), F.count("*").alias("_k")).filter("_k > 1")
+    met = stage(first.join(most, "gram").drop("_k"), "gram-lines")
+    a, b = met.filter("component <> _most").alias("a"), met.alias("b")
+    apart = (F.col("a.component") != F.col("b.component")) & ((F.col("b.component") == F.col("b._most")) | (F.col("a.hash") < F.col("b.hash")))
+    alike = F.least("a.size", "b.size") >= least * F.greatest("a.size", "b.size") - 1e-6
+    pairs = a.join(b, (F.col("a.gram") == F.col("b.gram")) & apart & alike)
+    return stage(pairs.select(F.least("a.hash", "b.hash").alias("u"), F.greatest("a.hash", "b.hash").alias("v")).distinct(), "rest-pairs")
+
+
 def links(docs: DataFrame, distinct: DataFrame, least: float = LEAST) -> DataFrame:
-    """Verified links (u, v) between hashes of ``distinct`` lines (hash, first_doc, bands)."""
+    """Verified links (u, v) between hashes of ``distinct`` lines (hash, first_doc, bands).
+
+    They join all lines of a band that are similar, though not each pair of them has its own link.
+    """
     keyed = distinct.select(F.explode("bands").alias("key"), "hash")
     met = keyed.groupBy("key").agg(F.min("hash").alias("u"), F.max("hash").alias("_most")).filter("u < _most").select("key", "u")
-    pairs = stage(keyed.join(met, "key").select("u", F.col("hash").alias("v")).filter("u < v").distinct(), "line-pairs")
+    shared = stage(keyed.join(met, "key").select("key", "u", "hash"), "line-bands")
+    pairs = stage(shared.select("u", F.col("hash").alias("v")).filter("u < v").distinct(), "line-pairs")
     wanted = pairs.select(F.col("u").alias("hash")).unionByName(pairs.select(F.col("v").alias("hash"))).distinct()
     wanted = stage(wanted.join(distinct.select("hash", "first_doc"), "hash"), "wanted-lines")
     # The texts of the wanted lines, from the first document that has each.
@@ -93,8 +133,9 @@ def links(docs: DataFrame, distinct: DataFrame, least: float = LEAST) -> DataFra
         .agg(F.min("line").alias("line"))
     )
     texts = stage(texts, "line-texts")
-    read = pairs.join(texts.select(F.col("hash").alias("u"), F.col("line").alias("_a")), "u").join(texts.select(F.col("hash").alias("v"), F.col("line").alias("_b")), "v")
-    return stage(read.filter(jaccard(F.col("_a"), F.col("_b")) >= least).select("u", "v"), "line-links")
+    found = _verified(pairs, texts, least, "line-links")
+    rest = rest_of_bands(shared, connected_components(found), texts, least)
+    return found.unionByName(_verified(rest, texts, least, "rest-links"))
 
 
 def dropped_lines(docs: DataFrame, least: float = LEAST) -> DataFrame:
