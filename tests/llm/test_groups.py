@@ -172,6 +172,26 @@ def test_all_similar_lines_of_a_band_are_joined(spark):
     assert joined_by_hand(len(lines), [(at[r["u"]], at[r["v"]]) for r in found]) == joined_by_hand(len(lines), near)
 
 
+def test_near_lines_of_all_kinds_share_a_band(spark):
+    """Without blanks, of two words of which the second begins otherwise, and with letters changed all over."""
+    rng = np.random.default_rng(12)
+    text = lambda letters, n: "".join(rng.choice(list(letters), n))
+    letters, signs = "abcdefghijklmnop", [chr(0x4E00 + k) for k in range(500)]
+    pairs = []
+    for _ in range(100):
+        sentence = text(signs, 200)
+        pairs.append((sentence, sentence[:100] + "x" + sentence[101:]))
+        first, second = text(letters, 60), text(letters, 40)
+        pairs.append((f"{first} {second}", f"{first} {'x' + second[1:]}"))
+        words = list(" ".join(text(letters, 5) for _ in range(80)))
+        pairs.append(("".join(words), "".join("x" if k % 53 == 20 else c for k, c in enumerate(words))))
+    sets = [line_sets(p) for p in pairs]
+    assert all(len(a & b) >= 0.8 * len(a | b) for a, b in sets)
+    rows = spark.createDataFrame(pairs, "a string, b string")
+    met = [r["met"] for r in rows.select(F.arrays_overlap(L.bands(F.col("a")), L.bands(F.col("b"))).alias("met")).collect()]
+    assert all(sum(met[k::3]) >= 95 for k in range(3))
+
+
 # Tiles
 
 

@@ -1,8 +1,8 @@
 """Fuzzy line deduplication over all documents by MinHash, with column functions and joins only.
 
-A line is compared in lower case without outer blanks. Its signature comes from character shingles that begin
-at its words and reach ``REACH`` characters into the next one: a hash orders them, and the least and the greatest few of
-that order are the minima of two orders. Each pair of neighbours among them is a band, and lines that share a
+A line is compared in lower case without outer blanks. Its signature comes from all its ``GRAM``-character
+shingles, with or without blanks: a hash orders them, and the least and the greatest few of that order are the
+minima of two orders. Each pair of neighbours among them is a band, and lines that share a
 band are candidates. Of the few shingles at either end a pair with Jaccard similarity 0.8 shares two
 neighbours with probability 0.9 at least, so it misses both ends with about 0.01 (at 0.9: 0.001).
 
@@ -22,7 +22,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from weekcast.operators.components import connected_components
 from weekcast.session import stage
 
-REACH = 6
 #: Shingles kept at either end of the order; one band fewer than this at either end.
 ENDS = 4
 GRAM = 5
@@ -46,29 +45,26 @@ def split_lines(docs: DataFrame) -> DataFrame:
     return lines.filter(F.regexp_like("line", F.lit(WORD_CHARACTER))).select("doc_id", "version", "line_no", comparable(F.col("line")).alias("line"))
 
 
+def shingles(line: Column) -> Column:
+    """The set of all character shingles of a line, by their 64-bit hashes; a shorter line is its only shingle.
+
+    Of four bytes to a character, any shingle is cut out in one step.
+    """
+    places = F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(line) - GRAM))
+    cut = lambda wide: F.transform(places, lambda i: F.xxhash64(F.substr(wide, 4 * i + 1, F.lit(4 * GRAM))))
+    return F.array_distinct(_let(F.encode(line, "UTF-32"), cut))
+
+
 def bands(line: Column) -> Column:
     """Band keys of a line: hashes of neighbours at both ends of its ordered shingle hashes."""
 
-    def of_words(words: Column) -> Column:
-        return F.sort_array(F.transform(words, lambda w, i: F.xxhash64(w, F.substring(F.get(words, i + 1), 1, REACH))))
-
     def ends(hashes: Column) -> Column:
         low = F.slice(hashes, 1, ENDS)
         high = F.slice(hashes, F.greatest(F.lit(1), F.size(hashes) - ENDS + 1), ENDS)
         pairs = lambda part, side: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(part) - 2)), lambda k: F.xxhash64(F.lit(side), F.get(part, k), F.get(part, k + 1)))
         return F.array_distinct(F.concat(_let(low, lambda p: pairs(p, 0)), _let(high, lambda p: pairs(p, 1))))
 
-    return _let(_let(F.split(line, " "), of_words), lambda h: ends(F.array_distinct(h)))
-
-
-def shingles(line: Column) -> Column:
-    """The set of all character shingles of a line, by their 64-bit hashes; a shorter line is its only shingle.
-
-    Of four bytes to a character, any shingle is cut out in one step.
-    """
-    places = F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(line) - GRAM))
-    cut = lambda wide: F.transform(places, lambda i: F.xxhash64(F.substr(wide, 4 * i + 1, F.lit(4 * GRAM))))
-    return F.array_distinct(_let(F.encode(line, "UTF-32"), cut))
+    return _let(F.sort_array(shingles(line)), ends)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -120,9 +116,8 @@ def links(docs: DataFrame, distinct: DataFrame, least: float = LEAST) -> DataFra
     keyed = distinct.select(F.explode("bands").alias("key"), "hash")
     met = keyed.groupBy("key").agg(F.min("hash").alias("u"), F.max("hash").alias("_most")).filter("u < _most").select("key", "u")
     shared = stage(keyed.join(met, "key").select("key", "u", "hash"), "line-bands")
-    pairs = stage(shared.select("u", F.col("hash").alias("v")).filter("u < v").distinct(), "line-pairs")
-    wanted = pairs.select(F.col("u").alias("hash")).unionByName(pairs.select(F.col("v").alias("hash"))).distinct()
-    wanted = stage(wanted.join(distinct.select("hash", "first_doc"), "hash"), "wanted-lines")
+    pairs = shared.select("u", F.col("hash").alias("v")).filter("u < v").distinct()
+    wanted = stage(shared.select("hash").distinct().join(distinct.select("hash", "first_doc"), "hash"), "wanted-lines")
     # The texts of the wanted lines, from the first document that has each.
     holders = wanted.select(F.col("first_doc").alias("doc_id")).distinct()
     held = split_lines(docs.join(holders, docs["doc_id"].eqNullSafe(holders["doc_id"]), "left_semi")).select("doc_id", F.xxhash64("line").alias("hash"), "line")
