@@ -286,6 +286,15 @@ def ranks_by_hand(names, edges, seeds, forth, damping=0.85):
     return dict(zip(names, np.linalg.solve(np.eye(n) - damping * step, (1 - damping) * start), strict=True))
 
 
+def test_ranks_reach_far_hosts_among_many_seeds(spark):
+    """One of 5,001 blocked hosts is linked to, by a chain of hosts; the others link nowhere."""
+    seeds = spark.createDataFrame([("end", 0, 1), *[(f"s{k}", 0, 1) for k in range(5000)]], "host string, allowed int, blocked int")
+    edges = spark.createDataFrame([("a", "end", 1), ("b", "a", 1), ("c", "b", 1)], "source string, target string, links int")
+    ranks = {r["host"]: r["distrust"] for r in U.propagate(seeds, edges).filter("host in ('end', 'a', 'b', 'c')").collect()}
+    assert ranks["a"] == pytest.approx(0.85 * ranks["end"], rel=0.01)
+    assert ranks["b"] == pytest.approx(0.85 * ranks["a"], rel=0.01) and ranks["c"] == pytest.approx(0.85 * ranks["b"], rel=0.01)
+
+
 def test_ranks_equal_the_linear_system(spark):
     rng = np.random.default_rng(8)
     hosts = [f"h{k}" for k in range(12)]

@@ -60,8 +60,9 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, tole
     """(host, trust, distrust) for every host of ``seeds`` (host, allowed, blocked: pages of each kind) and ``edges``.
 
     Each rank sums to 1 unless it has no seed; then it is 0. What a host without links to pass on holds goes
-    back to the seeds. Rounds go on until both ranks change by less than ``tolerance`` in sum, which the damping
-    brings about; each round is written to the shared folder.
+    back to the seeds. Rounds go on until no host is reached for the first time and each host's ranks change by less
+    than ``tolerance`` of themselves, however small its share of the sum; the damping brings that about. Each round
+    is written to the shared folder.
     """
     edges = stage(edges, "host-edges")
     out = edges.groupBy("source").agg(F.sum("links").alias("_out"))
@@ -82,13 +83,17 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, tole
     share = lambda c, n: F.col(c) / F.lit(float(n or 1))
     seeded = stage(known.select("host", share("allowed", totals["a"]).alias("_t0"), share("blocked", totals["b"]).alias("_d0"), "_from", "_to"), "host-seeds")
 
+    def moved_by(now: str, before: str) -> Column:
+        """Change as a share of the rank; 1 where a host is reached for the first time."""
+        return F.when(F.col(now) != F.col(before), F.abs(F.col(now) - F.col(before)) / F.greatest(now, before)).otherwise(0.0)
+
     def kept(ranks: DataFrame) -> tuple[DataFrame, dict]:
         seen = Observation()
         watched = ranks.observe(
             seen,
             F.coalesce(F.sum(F.when(F.col("_from") == 0, F.col("trust"))), F.lit(0.0)).alias("loose_trust"),
             F.coalesce(F.sum(F.when(F.col("_to") == 0, F.col("distrust"))), F.lit(0.0)).alias("loose_distrust"),
-            F.coalesce(F.sum(F.abs(F.col("trust") - F.col("_trust")) + F.abs(F.col("distrust") - F.col("_distrust"))), F.lit(0.0)).alias("change"),
+            F.coalesce(F.max(F.greatest(moved_by("trust", "_trust"), moved_by("distrust", "_distrust"))), F.lit(0.0)).alias("change"),
         )
         return stage(watched, "host-ranks"), seen.get
 
