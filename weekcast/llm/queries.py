@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weekcast.llm import fuzzy_lines, harmonic_packing, link_trust, rule_cascade, simhash_bytes, string_kernel, string_tiling, token_codes, toxic_segments, zstd_quality
+from weekcast.llm import ball_codes, collocations, fuzzy_lines, harmonic_packing, link_trust, rule_cascade, simhash_bytes, string_kernel, string_tiling, substring_dedup, token_codes, toxic_segments, zstd_quality
 from weekcast.llm.training import held_out
 from weekcast.session import work_path
 
@@ -94,6 +94,23 @@ def op10_harmonic_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_ball_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Compress all vectors to four bytes by codebooks that are refined over metric trees."""
+    coded, books = ball_codes.compress(table(spark, folder, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(ball_codes.books_digest(books)).alias("codebooks_sha256"))
+
+
+def op12_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of all documents without the passages of 35 words that the corpus repeats."""
+    left = substring_dedup.deduplicated(table(spark, folder, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The strongest collocations of each language of all documents."""
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_codes": op1_token_codes,
     "op2_link_trust": op2_link_trust,
@@ -105,6 +122,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_bytes": op8_simhash_bytes,
     "op9_rule_cascade": op9_rule_cascade,
     "op10_harmonic_packing": op10_harmonic_packing,
+    "op11_ball_codes": op11_ball_codes,
+    "op12_substring_dedup": op12_substring_dedup,
+    "op13_collocations": op13_collocations,
 }
 _MEASURES_SQL = r"""
 WITH texts AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS t FROM documents),
