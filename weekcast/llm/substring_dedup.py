@@ -32,7 +32,7 @@ WINDOW = 35
 SEED = 8
 BLANKS = b" \t\n\x0b\x0c\r"
 #: Words in a shard's index; a shard goes on until its last gram's fragments are all there.
-SHARD_WORDS = 1 << 19
+SHARD_WORDS = 1 << 18
 #: A gram with more different fragments than this is split.
 MOST_FRAGMENTS = 1 << 12
 FRAGMENTS = "doc_id long, version long, seed long, digest long, start long, n int"
