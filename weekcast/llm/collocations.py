@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weekcast.llm.byte_words import Rolling, Words, joined, mixed, portions
@@ -107,12 +108,12 @@ class Phrases:
         at = np.arange(m)
         return self.rolling.stretches(self.hashes, at, at + n), self.piece[:m] == self.piece[n - 1 :]
 
-    def wanted(self, n: int, marks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of length ``n``, and where both parts, one word shorter, are marked in ``marks[n - 2]``."""
+    def wanted(self, n: int, shorter: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of length ``n``, and where both parts, one word shorter, are marked in ``shorter``."""
         found, there = self.of_length(n)
         if n > 1 and len(found):
             part, _ = self.of_length(n - 1)
-            good = marked(part, marks[n - 2])
+            good = marked(part, shorter)
             there &= good[: len(found)] & good[1 : len(found) + 1]
         return found, there
 
@@ -126,6 +127,10 @@ def marked(hashes: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
     return (bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
+def _bitmap(frame: bytes | None) -> np.ndarray | None:
+    return np.frombuffer(zstandard.decompress(frame), np.uint8) if frame else None
+
+
 def added_up(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys and their exact sums of weights."""
     order = np.argsort(keys)
@@ -136,7 +141,7 @@ def added_up(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def _hashed(batches: Iterator[pa.RecordBatch], n: int, shared) -> Iterator[pa.RecordBatch]:
     """(phrase hash, weight) of phrases of ``n`` words whose parts are marked, equal ones added up as far as held."""
-    marks, keys, weights, held = shared.value if shared else [], [], [], 0
+    shorter, keys, weights, held = _bitmap(shared.value) if shared else None, [], [], 0
 
     def closed() -> pa.RecordBatch:
         k, w = added_up(np.concatenate(keys), np.concatenate(weights))
@@ -145,7 +150,7 @@ def _hashed(batches: Iterator[pa.RecordBatch], n: int, shared) -> Iterator[pa.Re
     for batch in batches:
         for part in range(0, batch.num_rows, 4096):
             phrases = Phrases(batch.slice(part, 4096))
-            found, there = phrases.wanted(n, marks)
+            found, there = phrases.wanted(n, shorter)
             there &= phrases.own[: len(found)]
             keys.append(found[there])
             weights.append(phrases.weight[: len(found)][there])
@@ -157,8 +162,11 @@ def _hashed(batches: Iterator[pa.RecordBatch], n: int, shared) -> Iterator[pa.Re
         yield closed()
 
 
-def frequent_marks(dictionary: DataFrame, least: int, longest: int, bits: int = MARK_BITS) -> list[np.ndarray]:
-    """For each length from 1 on a bitmap of ``bits`` bits that marks at least all phrases found ``least`` times."""
+def frequent_marks(dictionary: DataFrame, least: int, longest: int, bits: int = MARK_BITS) -> list:
+    """For each length from 1 on a broadcast bitmap of ``bits`` bits that marks at least all phrases found ``least`` times.
+
+    Bitmaps travel as zstandard frames, small where few phrases are frequent and never larger than the bitmap.
+    """
     spark, marks, shared = dictionary.sparkSession, [], None
     for n in range(1, longest + 1):
         counted = dictionary.mapInArrow(lambda b, n=n, shared=shared: _hashed(b, n, shared), "phrase long, weight long")
@@ -170,14 +178,14 @@ def frequent_marks(dictionary: DataFrame, least: int, longest: int, bits: int =
         # At most one row of 4 KB per bucket, and there are bits / BUCKET of them.
         for row in buckets.agg(F.bitmap_construct_agg(F.col("bit") % BUCKET).alias("marks")).collect():
             bitmap[row.bucket * (BUCKET // 8) :][: len(row.marks)] = np.frombuffer(row.marks, np.uint8)
-        marks.append(bitmap)
-        shared = spark.sparkContext.broadcast(list(marks))
+        shared = spark.sparkContext.broadcast(zstandard.compress(bitmap.tobytes(), 1))
+        marks.append(shared)
     return marks
 
 
-def _worded(batches: Iterator[pa.RecordBatch], longest: int, shared) -> Iterator[pa.RecordBatch]:
+def _worded(batches: Iterator[pa.RecordBatch], longest: int, shared: list) -> Iterator[pa.RecordBatch]:
     """lang, phrase, n, weight of all marked phrases, equal ones of a batch added up."""
-    marks = shared.value
+    marks = [None, *(_bitmap(s.value) for s in shared)]
     kinds = (pa.string(), pa.string(), pa.int32(), pa.int64())
     for batch in batches:
         rows = []
@@ -185,10 +193,10 @@ def _worded(batches: Iterator[pa.RecordBatch], longest: int, shared) -> Iterator
         check = Rolling(41)
         whole = phrases.data.tobytes()
         for n in range(1, longest + 1):
-            found, there = phrases.wanted(n, marks)
+            found, there = phrases.wanted(n, marks[n - 1])
             there &= phrases.own[: len(found)]
             at = np.flatnonzero(there)
-            at = at[marked(found[at], marks[n - 1])]
+            at = at[marked(found[at], marks[n])]
             if not len(at):
                 continue
             # Two independent hashes of 64 bits say which phrases of this batch are equal.
@@ -205,7 +213,7 @@ def _worded(batches: Iterator[pa.RecordBatch], longest: int, shared) -> Iterator
 
 def frequent_phrases(dictionary: DataFrame, least: int = LEAST_COUNT, longest: int = LONGEST, bits: int = MARK_BITS) -> DataFrame:
     """lang, phrase, words (how many) and count of all phrases of up to ``longest`` words found ``least`` times, exactly."""
-    shared = dictionary.sparkSession.sparkContext.broadcast(frequent_marks(dictionary, least, longest, bits))
+    shared = frequent_marks(dictionary, least, longest, bits)
     counted = dictionary.mapInArrow(lambda b: _worded(b, longest, shared), "lang string, phrase string, n int, weight long")
     return counted.groupBy("lang", "phrase", F.col("n").alias("words")).agg(F.sum("weight").alias("count")).filter(F.col("count") >= least)
 
