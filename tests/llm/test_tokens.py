@@ -12,18 +12,19 @@ from weekcast.llm import harmonic_packing as H, token_codes as T
 from weekcast.llm.tokens import ChunkCodes
 
 FILES = ("byte_bpe_50k.json", "word_bpe_49k.json")
-TEXTS = [None, "", " ", "\n\n", "a", "Ouwhea the of.\nRend, and!! it's", "tab\there  two  blanks \n end ", "\x1c!\x1c x\x85y", "é é Σ ΑΣ ﬁ 日本語。 x", "<|endoftext|> as text", "x" * 9000, "a,b.c;; d ,e ...f 'S"]
+TEXTS = [None, "", " ", "\n\n", "a", "Ouwhea the of.\nRend, and!! it's", "tab\there  two  blanks \n end ", "\x1c!\x1c x\x85y", "é é Σ ΑΣ ﬁ 日本語。 x", "<|endoftext|> as text", "a<|endoftext|>b.  <|endoftext|>  <|startoftext|>!", " İ;", "İ. i̇; ǰ! ﬁ, ŉ: ẞ.", "x" * 9000, "a,b.c;; d ,e ...f 'S"]
 
 
-def plain(name):
+def plain(name, names_as_text=False):
     tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-    tokenizer.encode_special_tokens = True
+    tokenizer.encode_special_tokens = names_as_text
     return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("names_as_text", [False, True])
 @pytest.mark.parametrize("name", FILES)
-def test_chunked_ids_are_those_of_the_whole_text(name):
-    codes, whole = ChunkCodes(public_tokenizers.path(name), keep=5), plain(name)
+def test_chunked_ids_are_those_of_the_whole_text(name, names_as_text):
+    codes, whole = ChunkCodes(public_tokenizers.path(name), keep=5, names_as_text=names_as_text), plain(name, names_as_text)
 
     @settings(max_examples=150, deadline=None)
     @given(st.text(alphabet=st.sampled_from("aBé.,!'s \n\t\x1c 7ßΣ_-日"), max_size=40))

@@ -39,8 +39,8 @@ def cut(n_tokens: int, capacity: int = CAPACITY, smallest: int = SMALLEST) -> li
     return pieces + [rest] * (rest > 0)
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, capacity: int, smallest: int, keep: int) -> Iterator[pa.RecordBatch]:
-    codes, end = codes_for(tokenizer, keep), int(end_id).to_bytes(4, "little")
+def _pieces(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, capacity: int, smallest: int, keep: int, names_as_text: bool) -> Iterator[pa.RecordBatch]:
+    codes, end = codes_for(tokenizer, keep, names_as_text), int(end_id).to_bytes(4, "little")
     part, numbers = TaskContext.get().partitionId(), Counter()
     schema = pa.schema(
         [("part", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int32()), ("doc_tokens", pa.int64()), ("number", pa.int64()), ("ids", pa.binary())]
@@ -85,16 +85,17 @@ def lay_out(totals: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
     return runs
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, smallest: int = SMALLEST, keep: int = KEEP) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, smallest: int = SMALLEST, keep: int = KEEP, names_as_text: bool = False) -> DataFrame:
     """Pieces with their place: doc_id, start, length, doc_tokens, sequence_id, offset, ids.
 
     ``start`` is the document's ids before the piece, ``ids`` little-endian unsigned 32-bit integers. A null
     text is an empty one and gives the end id alone; a repeated row is a document of its own; of other columns
-    none is read. An empty table gives no pieces. ``keep`` bounds the memory of chunks in each Python worker. Sequences are numbered from 0 and filled without gaps.
+    none is read. An empty table gives no pieces. ``keep`` bounds the memory of chunks in each Python worker.
+    Names of special tokens in a text are these tokens, or with ``names_as_text`` ordinary text. Sequences are numbered from 0 and filled without gaps.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    pieces = stage(rows.mapInArrow(lambda b: _pieces(b, tokenizer, end_id, capacity, smallest, keep), PIECES), "pieces")
+    pieces = stage(rows.mapInArrow(lambda b: _pieces(b, tokenizer, end_id, capacity, smallest, keep, names_as_text), PIECES), "pieces")
     # A row per task and class: classes are fixed, tasks are splits of the input.
     counts = stage(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "piece-counts")
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

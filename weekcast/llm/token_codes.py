@@ -110,8 +110,8 @@ class Segment:
         return below
 
 
-def _segments(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    codes, end = codes_for(tokenizer), int(end_id).to_bytes(4, "little")
+def _segments(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, names_as_text: bool) -> Iterator[pa.RecordBatch]:
+    codes, end = codes_for(tokenizer, names_as_text=names_as_text), int(end_id).to_bytes(4, "little")
     part, number, before = TaskContext.get().partitionId(), 0, 0
     doc_ids, ids, size = [], [], 0
 
@@ -135,18 +135,19 @@ def _segments(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int) ->
         yield closed()
 
 
-def write_codes(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
+def write_codes(docs: DataFrame, path: str, tokenizer: str, end_id: int, names_as_text: bool = False) -> None:
     """Encode doc_id and text of ``docs`` and write segments and directory below ``path``.
 
     Only doc_id and text are read, so further columns, whatever their names, don't matter. Hot doc_ids are
-    spread by their texts. An empty table gives no segment and an empty directory.
+    spread by their texts. An empty table gives no segment and an empty directory. Names of special tokens in a text
+    are these tokens, or with ``names_as_text`` ordinary text.
     """
     ordered = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         .repartitionByRange("doc_id", F.substring("text", 1, 64))
         .sortWithinPartitions("doc_id", "text")
     )
-    ordered.mapInArrow(lambda rows: _segments(rows, tokenizer, end_id), SEGMENTS).write.option(
+    ordered.mapInArrow(lambda rows: _segments(rows, tokenizer, end_id, names_as_text), SEGMENTS).write.option(
         "compression", "none"
     ).parquet(f"{path}/segments")
     segments = docs.sparkSession.read.schema(SEGMENTS).parquet(f"{path}/segments")

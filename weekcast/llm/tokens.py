@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 CHUNK = re.compile(r"\s*\S+(?:(?![ \n])\s+\S*)*|\s+")
 CLOSING = ".,!?;:"
 #: Pieces remembered in each of two generations, some 200 bytes each.
-KEEP = 250_000
+KEEP = 450_000
 #: Longer pieces are encoded each time, so that the memory's size in bytes is bounded too.
 LONGEST_KEPT = 64
 
@@ -34,13 +34,14 @@ class ChunkCodes(dict):
     """piece -> its ids as little-endian unsigned 32-bit integers.
 
     A piece that begins with a visible character stands for that text after one blank. Two generations
-    of at most ``keep`` pieces each are remembered, so rare pieces are forgotten and memory is bounded.
+    of at most ``keep`` pieces each are remembered, so rare pieces are forgotten and memory is bounded. The name of a
+    special token in a text gives that token, as in the library, or with ``names_as_text`` the ids of its letters.
     """
 
-    def __init__(self, path: str, keep: int = KEEP):
+    def __init__(self, path: str, keep: int = KEEP, names_as_text: bool = False):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # the names of special tokens in a text are ordinary text
+        self.tokenizer.encode_special_tokens = names_as_text
         self.word = self.plain_word()
         self.keep, self.older = keep, {}
 
@@ -68,7 +69,8 @@ class ChunkCodes(dict):
                 ids = [x.id for x in self.tokenizer.model.tokenize(self.word(piece))]
             else:
                 word = piece.rstrip(CLOSING)
-                if word and len(word) < len(piece) and word[-1].isalpha():
+                # A letter may be no letter in lower case: U+0130 ends in a mark then, which joins the closing ones.
+                if word and len(word) < len(piece) and word[-1].isalpha() and word[-1].lower()[-1].isalpha():
                     known = word in self
                     code = self[word] + self.closing(piece[len(word) :])
                     if not known:  # a new word: its closed form is worth a place only when it comes again
@@ -111,15 +113,16 @@ class ChunkCodes(dict):
         return self.raw(first) + b"".join(map(self.__getitem__, pieces))
 
 
-_CODES: dict[tuple[str, int], ChunkCodes] = {}
+_CODES: dict[tuple[str, int, bool], ChunkCodes] = {}
 
 
-def codes_for(path: str, keep: int = KEEP) -> ChunkCodes:
+def codes_for(path: str, keep: int = KEEP, names_as_text: bool = False) -> ChunkCodes:
     """One memory of chunks per Python worker; another tokenizer or size takes its place."""
-    if (path, keep) not in _CODES:
+    wanted = (path, keep, names_as_text)
+    if wanted not in _CODES:
         _CODES.clear()
-        _CODES[path, keep] = ChunkCodes(path, keep)
-    return _CODES[path, keep]
+        _CODES[wanted] = ChunkCodes(*wanted)
+    return _CODES[wanted]
 
 
 def forget() -> None:
