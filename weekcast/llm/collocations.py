@@ -34,12 +34,13 @@ LEAST_COUNT = 100
 HIDING = 100
 PER_LANG = 2000
 OVERLAP = LONGEST - 1
-SPACING = 24
+SPACING = 40
 #: Bits of a bitmap of frequent phrases: 8 MB, whatever the input.
 MARK_BITS = 1 << 26
 BUCKET = 1 << 15
 #: Phrases held in a task before equal ones are added up.
 HELD = 1 << 21
+HELD_WORDED = 1 << 17
 
 
 def _bounds(hashes: np.ndarray, owner: np.ndarray, overlap: int, spacing: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -183,14 +184,32 @@ def frequent_marks(dictionary: DataFrame, least: int, longest: int, bits: int =
     return marks
 
 
+def _same(keys: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal pairs (key, other) come together, and where each pair begins."""
+    order = np.argsort(keys)
+    turn = np.flatnonzero(np.concatenate([[True], np.diff(keys[order]) != 0]))
+    seen = others[order]
+    if (np.minimum.reduceat(seen, turn) != np.maximum.reduceat(seen, turn)).any():  # two pairs with one key
+        order = np.lexsort((others, keys))
+        turn = np.flatnonzero(np.concatenate([[True], (np.diff(keys[order]) != 0) | (np.diff(others[order]) != 0)]))
+    return order, turn
+
+
 def _worded(batches: Iterator[pa.RecordBatch], longest: int, shared: list) -> Iterator[pa.RecordBatch]:
-    """lang, phrase, n, weight of all marked phrases, equal ones of a batch added up."""
-    marks = [None, *(_bitmap(s.value) for s in shared)]
+    """lang, phrase, n, weight of all marked phrases, equal ones added up as far as held.
+
+    Two independent hashes of 64 bits say which phrases of a task are equal.
+    """
+    marks, check = [None, *(_bitmap(s.value) for s in shared)], Rolling(41)
+    held: dict[tuple[int, int], list] = {}
     kinds = (pa.string(), pa.string(), pa.int32(), pa.int64())
+
+    def closed() -> pa.RecordBatch:
+        columns = zip(*held.values(), strict=True) if held else [[]] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["lang", "phrase", "n", "weight"])
+
     for batch in batches:
-        rows = []
         phrases = Phrases(batch)
-        check = Rolling(41)
         whole = phrases.data.tobytes()
         for n in range(1, longest + 1):
             found, there = phrases.wanted(n, marks[n - 1])
@@ -199,16 +218,21 @@ def _worded(batches: Iterator[pa.RecordBatch], longest: int, shared: list) -> It
             at = at[marked(found[at], marks[n])]
             if not len(at):
                 continue
-            # Two independent hashes of 64 bits say which phrases of this batch are equal.
             other = check.stretches(phrases.hashes, at, at + n)
-            order = np.lexsort((other, found[at]))
-            at, first_key, second_key = at[order], found[at][order], other[order]
-            turn = np.flatnonzero(np.concatenate([[True], (first_key[1:] != first_key[:-1]) | (second_key[1:] != second_key[:-1])]))
-            sums = np.add.reduceat(phrases.weight[at], turn).tolist()
-            for k, weight in zip(at[turn].tolist(), sums, strict=True):
+            order, turn = _same(found[at], other)
+            first = order[turn]
+            sums = np.add.reduceat(phrases.weight[at[order]], turn).tolist()
+            for k, key, second, weight in zip(at[first].tolist(), found[at[first]].tolist(), other[first].tolist(), sums, strict=True):
+                known = held.get((key, second))
+                if known:
+                    known[3] += weight
+                    continue
                 words = [whole[phrases.starts[k + i] : phrases.ends[k + i]] for i in range(n)]
-                rows.append((phrases.langs[phrases.chunk[k]], b" ".join(words).decode("utf-8", "replace"), n, weight))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, kinds, strict=True)], ["lang", "phrase", "n", "weight"])
+                held[key, second] = [phrases.langs[phrases.chunk[k]], b" ".join(words).decode("utf-8", "replace"), n, weight]
+        if len(held) > HELD_WORDED:
+            yield closed()
+            held.clear()
+    yield closed()
 
 
 def frequent_phrases(dictionary: DataFrame, least: int = LEAST_COUNT, longest: int = LONGEST, bits: int = MARK_BITS) -> DataFrame:
