@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,14 +65,34 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Deletes what is staged inside when it ends, but for tables staged with the function that it gives."""
+    mark, kept = len(_STAGED), []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        staged = stage(df, name)
+        kept.append(_STAGED[-1])
+        return staged
+
+    yield keep
+    _delete(spark, [p for p in _STAGED[mark:] if p not in kept])
+    _STAGED[mark:] = kept
+
+
 def release_staged(spark: SparkSession) -> int:
     """Delete all tables that ``stage`` has written in this process; call it when nothing that reads them is needed.
 
     Returns how many there were. Published tables and those of other processes aren't touched.
     """
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     released = len(_STAGED)
-    while _STAGED:
-        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
-        path.getFileSystem(conf).delete(path, True)
+    _delete(spark, _STAGED)
+    _STAGED.clear()
     return released
