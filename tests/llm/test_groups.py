@@ -145,15 +145,16 @@ def test_texts_lose_their_dropped_lines(spark):
     assert L.deduplicated(frame(spark, [])).count() == 0
 
 
-def test_exact_jaccard_of_short_and_long_lines(spark):
+def test_exact_jaccard_of_short_and_long_lines():
     pairs = [("abc", "abc"), ("abcdefgh", "abcdefgx"), ("ab" * 3000, "ab" * 2000), ("é" * 7 + "abcdef", "é" * 7 + "abcdeg"), ("a", "b")]
-    got = [r["j"] for r in spark.createDataFrame(pairs, "a string, b string").select(L.jaccard(F.col("a"), F.col("b")).alias("j")).collect()]
     sets = [line_sets(p) for p in pairs]
-    assert got == [pytest.approx(len(a & b) / len(a | b)) for a, b in sets]
+    assert [L.jaccard(a, b) for a, b in pairs] == [pytest.approx(len(a & b) / len(a | b)) for a, b in sets]
 
 
-def test_all_similar_lines_of_a_band_are_joined(spark):
-    """One band holds all lines, so but for one group its least line is a stranger."""
+@pytest.mark.parametrize("few", [2, 8])
+def test_all_similar_lines_of_a_band_are_joined(spark, monkeypatch, few):
+    """One band holds all lines, so most of its lines are strangers to its leaders."""
+    monkeypatch.setattr(L, "FEW", few)
     rng = np.random.default_rng(9)
     text = lambda n: "".join(rng.choice(list("abcdefghijklmnop"), n))
     groups = []
@@ -162,17 +163,16 @@ def test_all_similar_lines_of_a_band_are_joined(spark):
         body = text(300)
         groups.append([body, body + ends[0], ends[1] + body, text(340)])
     lines = [x for g in groups for x in g] + [text(200) for _ in range(20)]
-    hashes = {x: int(np.uint64(xxhash.xxh64_intdigest(x.encode(), 42)).astype(np.int64)) for x in lines}
-    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
-    placed = [(hashes[x], k, [7, 8 + k % 2]) for k, x in enumerate(lines)]
-    found = L.links(docs, spark.createDataFrame(placed, "hash long, first_doc long, bands array<long>")).collect()
+    hashes = {x: L.line_hash(x) for x in lines}
+    members = spark.createDataFrame([(key, hashes[x]) for k, x in enumerate(lines) for key in (7, 8 + k % 2)], "key long, hash long")
+    found = L.links(members, spark.createDataFrame([(h, x) for x, h in hashes.items()], "hash long, line string")).collect()
     sets, at = line_sets(lines), {hashes[x]: k for k, x in enumerate(lines)}
     near = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
     assert len(near) >= 8
     assert joined_by_hand(len(lines), [(at[r["u"]], at[r["v"]]) for r in found]) == joined_by_hand(len(lines), near)
 
 
-def test_near_lines_of_all_kinds_share_a_band(spark):
+def test_near_lines_of_all_kinds_share_a_band():
     """Without blanks, of two words of which the second begins otherwise, and with letters changed all over."""
     rng = np.random.default_rng(12)
     text = lambda letters, n: "".join(rng.choice(list(letters), n))
@@ -187,9 +187,21 @@ def test_near_lines_of_all_kinds_share_a_band(spark):
         pairs.append(("".join(words), "".join("x" if k % 53 == 20 else c for k, c in enumerate(words))))
     sets = [line_sets(p) for p in pairs]
     assert all(len(a & b) >= 0.8 * len(a | b) for a, b in sets)
-    rows = spark.createDataFrame(pairs, "a string, b string")
-    met = [r["met"] for r in rows.select(F.arrays_overlap(L.bands(F.col("a")), L.bands(F.col("b"))).alias("met")).collect()]
-    assert all(sum(met[k::3]) >= 95 for k in range(3))
+    met = (L.bands([a for a, _ in pairs]) == L.bands([b for _, b in pairs])).any(axis=1)
+    assert all(met[k::3].sum() >= 97 for k in range(3))
+
+
+def test_strangers_share_no_band():
+    rng = np.random.default_rng(13)
+    keys = L.bands(["".join(rng.choice(list("abcdefghijklmnop"), 60)) for _ in range(500)] + ["", "a", "ab"])
+    assert len(np.unique(keys)) == keys.size
+
+
+def test_bands_do_not_depend_on_the_other_lines(monkeypatch):
+    lines = ["short", "abc", "x" * 300, "a longer line of words", "abc"]
+    together = L.bands(lines)
+    monkeypatch.setattr(L, "BLOCK", 8)
+    assert (L.bands(lines) == together).all() and (together[1] == together[4]).all()
 
 
 # Tiles

@@ -1,136 +1,226 @@
-"""Fuzzy line deduplication over all documents by MinHash, with column functions and joins only.
+"""Fuzzy line deduplication over all documents by MinHash.
 
-A line is compared in lower case without outer blanks. Its signature comes from all its ``GRAM``-character
-shingles, with or without blanks: a hash orders them, and the least and the greatest few of that order are the
-minima of two orders. Each pair of neighbours among them is a band, and lines that share a
-band are candidates. Of the few shingles at either end a pair with Jaccard similarity 0.8 shares two
-neighbours with probability 0.9 at least, so it misses both ends with about 0.01 (at 0.9: 0.001).
+A line is compared in lower case without outer blanks, by the set of all its ``GRAM``-character shingles. Its
+signature has ``BANDS`` times ``ROWS`` minima, each under its own order of the shingles' hashes; lines whose minima
+agree in all rows of a band are candidates. At Jaccard similarity 0.8 a pair shares a band with probability 0.998,
+at 0.85 with 0.9999, at 0.4 with 0.08 and at 0.2 with 0.001. Candidates are verified exactly, and those of at
+least ``LEAST`` are linked. Union-find over the links and equal lines gives components, and the first line of
+each, by doc_id and line number, stays.
 
-Each line of a band is compared with the band's least line first. Pairs of the others are compared where that
-has left them in different components, unless a filter that loses none shows that they can't be similar.
-Candidates are verified exactly: Jaccard similarity of their sets of all ``GRAM``-character shingles of at least
-``LEAST``. Union-find over the verified links and equal lines gives components, the same as from all pairs of a
-band, and the first line of each, by doc_id and line number, stays.
+In a band that many lines share, not all pairs are made. A few lines lead: all that aren't in a leader's component yet
+are compared with it. Then components are joined, bands that lie in one component are done with, and in the
+others more lines lead, eight times as many each round, until all have led. So a band of similar lines costs one
+round or two, whatever its size, and no pair of a band is left open.
 
 Lines go by a 64-bit hash; two different lines with the same hash would count as equal lines.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import xxhash
+import zstandard
+from pyspark.sql import DataFrame, Window, functions as F
+
+from weekcast.llm.byte_words import mixed
+from weekcast.llm.rows import free_token_memory
+from weekcast.llm.texts import text_rows, text_version, with_texts
 from weekcast.operators.components import connected_components
-from weekcast.session import stage
+from weekcast.session import scratch, stage
 
-#: Shingles kept at either end of the order; one band fewer than this at either end.
-ENDS = 4
+BANDS, ROWS = 20, 6
 GRAM = 5
 LEAST = 0.8
 WORD_CHARACTER = r"[^\x20\x09-\x0D]"
-
-
-def _let(value: Column, use) -> Column:
-    """``use`` of a value that is computed once, however often it is named."""
-    return F.transform(F.array(value), use)[0]
-
-
-def comparable(line: Column) -> Column:
-    return F.lower(F.trim(line))
-
-
-def split_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, version (hash of the text), line_no from 0, and the comparable line, of lines with a word."""
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("text is not null")
-    lines = rows.select("doc_id", F.xxhash64("text").alias("version"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    return lines.filter(F.regexp_like("line", F.lit(WORD_CHARACTER))).select("doc_id", "version", "line_no", comparable(F.col("line")).alias("line"))
-
-
-def shingles(line: Column) -> Column:
-    """The set of all character shingles of a line, by their 64-bit hashes; a shorter line is its only shingle.
-
-    Of four bytes to a character, any shingle is cut out in one step.
-    """
-    places = F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(line) - GRAM))
-    cut = lambda wide: F.transform(places, lambda i: F.xxhash64(F.substr(wide, 4 * i + 1, F.lit(4 * GRAM))))
-    return F.array_distinct(_let(F.encode(line, "UTF-32"), cut))
-
-
-def bands(line: Column) -> Column:
-    """Band keys of a line: hashes of neighbours at both ends of its ordered shingle hashes."""
-
-    def ends(hashes: Column) -> Column:
-        low = F.slice(hashes, 1, ENDS)
-        high = F.slice(hashes, F.greatest(F.lit(1), F.size(hashes) - ENDS + 1), ENDS)
-        pairs = lambda part, side: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(part) - 2)), lambda k: F.xxhash64(F.lit(side), F.get(part, k), F.get(part, k + 1)))
-        return F.array_distinct(F.concat(_let(low, lambda p: pairs(p, 0)), _let(high, lambda p: pairs(p, 1))))
-
-    return _let(F.sort_array(shingles(line)), ends)
-
-
-def jaccard(a: Column, b: Column) -> Column:
-    """Exact Jaccard similarity of two lines' shingle sets."""
-    both = F.array(F.struct(shingles(a).alias("a"), shingles(b).alias("b")))
-    share = lambda s: _let(F.size(F.array_intersect(s["a"], s["b"])), lambda n: n / (F.size(s["a"]) + F.size(s["b"]) - n))
-    return F.transform(both, share)[0]
+BLANKS = " \t\n\x0b\x0c\r"
+#: Lines of a band that are compared pair by pair at once.
+FEW = 8
+#: How many times as many lines lead in the next round.
+STEP = 8
+#: Shingles whose minima are taken in one go.
+BLOCK = 1 << 16
+
+_numbers = np.random.default_rng(71)
+GRAM_FACTORS = _numbers.integers(1, 1 << 62, GRAM).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+ORDER_FACTORS = _numbers.integers(1, 1 << 31, BANDS * ROWS).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+ORDER_SHIFTS = _numbers.integers(0, 1 << 32, BANDS * ROWS).astype(np.uint32)
+ROW_FACTORS = _numbers.integers(1, 1 << 62, ROWS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def comparable(line: str) -> str:
+    return line.strip(" ").lower()
+
+
+def line_hash(line: str) -> int:
+    return int(np.uint64(xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))).astype(np.int64))
+
+
+def shingles(line: str) -> set[str]:
+    """All character shingles of a line; a shorter line is its only shingle."""
+    return {line[k : k + GRAM] for k in range(max(1, len(line) - GRAM + 1))}
+
+
+def jaccard(a: str, b: str) -> float:
+    x, y = shingles(a), shingles(b)
+    both = len(x & y)
+    return both / (len(x) + len(y) - both)
+
+
+def bands(lines: list[str]) -> np.ndarray:
+    """Band keys, one row per line; as equal sets of shingles have equal minima, repeats within a line don't matter."""
+    found, at = [], 0
+    sizes = np.array([max(1, len(x) - GRAM + 1) for x in lines], np.int64)
+    ends = np.cumsum(sizes)
+    while at < len(lines):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK, side="right")))
+        # Line feeds, which no line holds, fill up lines shorter than a shingle.
+        points = np.frombuffer(("\n" * GRAM).join([*lines[at:to], ""]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        wide = len(points) - GRAM + 1
+        hashes = sum(points[k : k + wide] * GRAM_FACTORS[k] for k in range(GRAM))
+        begins = np.concatenate([[0], np.cumsum([len(x) + GRAM for x in lines[at : to - 1]])]).astype(np.int64)
+        first = np.concatenate([[0], np.cumsum(sizes[at : to - 1])])
+        hashes = (mixed(hashes[np.arange(sizes[at:to].sum()) + np.repeat(begins - first, sizes[at:to])]) >> np.uint64(32)).astype(np.uint32)
+        minima = np.empty((BANDS, ROWS, to - at), np.uint64)
+        for k in range(BANDS * ROWS):
+            minima[k // ROWS, k % ROWS] = np.minimum.reduceat((hashes + ORDER_SHIFTS[k]) * ORDER_FACTORS[k], first)
+        found.append(mixed((minima * ROW_FACTORS[None, :, None]).sum(axis=1) + np.arange(BANDS, dtype=np.uint64)[:, None]).T)
+        at = to
+    return np.concatenate(found) if found else np.zeros((0, BANDS), np.uint64)
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, version, line_no and hash of all lines with a word."""
+    free_token_memory()
+    for batch in batches:
+        row, number, hashes = [], [], []
+        for k, text in enumerate(batch.column(2).to_pylist()):
+            for n, line in enumerate((text or "").split("\n")):
+                if line.strip(BLANKS):
+                    row.append(k)
+                    number.append(n)
+                    hashes.append(line_hash(comparable(line)))
+        named = batch.select(["doc_id", "version"]).take(pa.array(row, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*named.columns, pa.array(number, pa.int32()), pa.array(hashes, pa.int64())], ["doc_id", "version", "line_no", "hash"])
+
+
+def numbered_lines(docs: DataFrame) -> DataFrame:
+    return text_rows(docs).mapInArrow(_numbered, "doc_id long, version long, line_no int, hash long")
+
+
+def _line_texts(docs: DataFrame, distinct: DataFrame, use, schema: str) -> DataFrame:
+    """``use`` (a function of lists of hashes and of lines) over ``distinct`` lines (hash, doc_id, version, line_no)."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdDecompressor()
+        for batch in batches:
+            hashes, lines, size = [], [], 0
+            for packed, places in zip(batch.column(1), batch.column(2), strict=True):
+                text = press.decompress(packed.as_py()).decode("utf-8", "surrogatepass").split("\n")
+                for place in places.as_py():
+                    hashes.append(place["hash"])
+                    lines.append(comparable(text[place["line_no"]]))
+                    size += len(lines[-1])
+                if size > 1 << 21:
+                    yield use(hashes, lines)
+                    hashes, lines, size = [], [], 0
+            if hashes:
+                yield use(hashes, lines)
+
+    places = distinct.groupBy("doc_id", "version").agg(F.collect_set(F.struct("line_no", "hash")).alias("places"))
+    return with_texts(docs, places, "inner").mapInArrow(read, schema)
+
+
+def _banded(hashes: list[int], lines: list[str]) -> pa.RecordBatch:
+    keys = bands(lines)
+    return pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(np.array(hashes, np.int64), BANDS))], ["key", "hash"])
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, hash) in order, those whose key another hash has too, once each."""
+    keys = hashes = np.zeros(0, np.int64)
+    met = False  # whether the row that is held back had its key in common with the one before it
+
+    def frame(which: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys[which]), pa.array(hashes[which])], ["key", "hash"])
+
+    for batch in batches:
+        keys = np.concatenate([keys[-1:], np.asarray(batch.column(0))])
+        hashes = np.concatenate([hashes[-1:], np.asarray(batch.column(1))])
+        new = np.ones(len(keys), bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (hashes[1:] != hashes[:-1])
+        keys, hashes = keys[new], hashes[new]
+        same = keys[1:] == keys[:-1]
+        shared = np.concatenate([[met], same])
+        shared[:-1] |= same
+        yield frame(np.flatnonzero(shared[:-1]))
+        met = bool(shared[-1]) if len(shared) else False
+    if met:
+        yield frame(np.array([len(keys) - 1]))
+
+
+def shared_bands(docs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """(key, hash) of the bands that several of the ``distinct`` lines share."""
+    keyed = _line_texts(docs, distinct, _banded, "key long, hash long")
+    return keyed.repartition("key").sortWithinPartitions("key", "hash").mapInArrow(_met, "key long, hash long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float, name: str) -> DataFrame:
     """Those of ``pairs`` (u, v) whose lines in ``texts`` (hash, line) are similar, written."""
-    read = pairs.join(texts.select(F.col("hash").alias("u"), F.col("line").alias("_a")), "u").join(texts.select(F.col("hash").alias("v"), F.col("line").alias("_b")), "v")
-    return stage(read.filter(jaccard(F.col("_a"), F.col("_b")) >= least).select("u", "v"), name)
-
 
-def rest_of_bands(shared: DataFrame, joined: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Pairs (u, v) of lines that share a band but no component yet, without those that can't be similar.
-
-    ``shared`` has (key, u: its least line, hash), ``joined`` the components (node, component). Of a line's shingles,
-    the rarest first, so many come first that similar lines have one of them in common (Chaudhuri et al., "A
-    primitive operator for similarity joins", 2006). Lines that meet in a band and such a shingle are paired, except
-    within a component, so a shingle of many linked lines costs one pair per line and stranger.
-    """
-    others = shared.filter("u < hash").join(joined, shared["hash"] == joined["node"], "left").select("key", "hash", F.coalesce("component", "hash").alias("component"))
-    others = stage(others, "band-others")
-    open_bands = others.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).filter("_a < _b")
-    members = stage(others.join(open_bands, "key", "left_semi"), "band-members")
-    cut = members.select("hash").distinct().join(texts, "hash").select("hash", shingles(F.col("line")).alias("_all"))
-    grams = stage(cut.select("hash", F.size("_all").alias("size"), F.explode("_all").alias("gram")), "line-grams")
-    counted = grams.groupBy("gram").agg(F.count("*").alias("n"))
-    place = F.row_number().over(Window.partitionBy("hash").orderBy("n", "gram"))
-    first = grams.join(counted, "gram").withColumn("_place", place).filter(F.col("_place") <= F.floor(F.col("size") * (1 - least) + 1e-6) + 1)
-    first = first.filter("n > 1").select("gram", "hash", "size").join(members, "hash")
-    first = stage(first.select(F.xxhash64("key", "gram").alias("gram"), "hash", "component", "size"), "rare-grams")
-    most = first.groupBy("gram", "component").agg(F.count("*").alias("_n")).groupBy("gram").agg(F.max_by("component", "_n").alias("_most"), F.count("*").alias("_k")).filter("_k > 1")
-    met = stage(first.join(most, "gram").drop("_k"), "gram-lines")
-    a, b = met.filter("component <> _most").alias("a"), met.alias("b")
-    apart = (F.col("a.component") != F.col("b.component")) & ((F.col("b.component") == F.col("b._most")) | (F.col("a.hash") < F.col("b.hash")))
-    alike = F.least("a.size", "b.size") >= least * F.greatest("a.size", "b.size") - 1e-6
-    pairs = a.join(b, (F.col("a.gram") == F.col("b.gram")) & apart & alike)
-    return stage(pairs.select(F.least("a.hash", "b.hash").alias("u"), F.greatest("a.hash", "b.hash").alias("v")).distinct(), "rest-pairs")
-
-
-def links(docs: DataFrame, distinct: DataFrame, least: float = LEAST) -> DataFrame:
-    """Verified links (u, v) between hashes of ``distinct`` lines (hash, first_doc, bands).
-
-    They join all lines of a band that are similar, though not each pair of them has its own link.
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known: dict[int, set[str]] = {}
+            kept = []
+            for u, v, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for name, line in ((u, a), (v, b)):
+                    if name not in known:
+                        known[name] = shingles(line)
+                x, y = known[u], known[v]
+                both = len(x & y) if min(len(x), len(y)) >= least * max(len(x), len(y)) else 0
+                kept.append(both >= least * (len(x) + len(y) - both))
+                if len(known) > 2000:
+                    known.clear()
+            yield batch.select(["u", "v"]).filter(pa.array(kept, pa.bool_()))
+
+    side = lambda name, text: texts.select(F.col("hash").alias(name), F.col("line").alias(text))
+    read = pairs.join(side("u", "_a"), "u").join(side("v", "_b"), "v").select("u", "v", "_a", "_b")
+    return stage(read.mapInArrow(alike, "u long, v long"), name)
+
+
+def links(members: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
+    """Verified links (u, v) that join all similar lines of a band, though not each pair of them has its own.
+
+    ``members``: key, hash of lines that share a band; ``texts``: hash, line of them.
     """
-    keyed = distinct.select(F.explode("bands").alias("key"), "hash")
-    met = keyed.groupBy("key").agg(F.min("hash").alias("u"), F.max("hash").alias("_most")).filter("u < _most").select("key", "u")
-    shared = stage(keyed.join(met, "key").select("key", "u", "hash"), "line-bands")
-    pairs = shared.select("u", F.col("hash").alias("v")).filter("u < v").distinct()
-    wanted = stage(shared.select("hash").distinct().join(distinct.select("hash", "first_doc"), "hash"), "wanted-lines")
-    # The texts of the wanted lines, from the first document that has each.
-    holders = wanted.select(F.col("first_doc").alias("doc_id")).distinct()
-    held = split_lines(docs.join(holders, docs["doc_id"].eqNullSafe(holders["doc_id"]), "left_semi")).select("doc_id", F.xxhash64("line").alias("hash"), "line")
-    texts = (
-        held.join(wanted, (held["hash"] == wanted["hash"]) & held["doc_id"].eqNullSafe(wanted["first_doc"]))
-        .select(held["hash"], "line")
-        .groupBy("hash")
-        .agg(F.min("line").alias("line"))
-    )
-    texts = stage(texts, "line-texts")
-    found = _verified(pairs, texts, least, "line-links")
-    rest = rest_of_bands(shared, connected_components(found), texts, least)
-    return found.unionByName(_verified(rest, texts, least, "rest-links"))
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
+    # A line leads where its mark is a multiple of ``turn``, a power of two that falls from round to round.
+    fewest = F.pow(F.lit(2.0), F.floor(F.log2(F.col("n") / FEW)))
+    turns = sizes.select("key", F.when(F.col("n") <= FEW, F.lit(1)).otherwise(fewest).cast("long").alias("turn"))
+    mark = F.expr("shiftrightunsigned(xxhash64(hash), 8)")
+    rest = stage(members.join(turns, "key").select("key", "hash", mark.alias("mark"), "turn", F.lit(0).cast("long").alias("before"), F.col("hash").alias("component")), "band-members")
+    found = None
+    while True:
+        leads = F.col("mark") % F.col("turn") == 0
+        led = (F.col("before") > 0) & (F.expr("mark % if(before > 0, before, 1)") == 0)
+        a = rest.filter(leads & ~led).select("key", F.col("hash").alias("u"), F.col("component").alias("_cu"))
+        b = rest.filter(~led).select("key", F.col("hash").alias("v"), F.col("component").alias("_cv"), leads.alias("_leads"))
+        pairs = a.join(b, "key").filter((F.col("_cu") != F.col("_cv")) & (~F.col("_leads") | (F.col("u") < F.col("v"))))
+        pairs = stage(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "line-pairs")
+        new = _verified(pairs, texts, least, "line-links")
+        found = new if found is None else stage(found.unionByName(new), "all-links")
+        joined = connected_components(found)
+        placed = rest.drop("component").filter("turn > 1").join(joined, rest["hash"] == joined["node"], "left")
+        placed = placed.select("key", "hash", "mark", "turn", F.coalesce("component", "hash").alias("component"))
+        placed = stage(placed, "placed-members")
+        open_bands = placed.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).filter("_a < _b").select("key")
+        step = F.greatest(F.lit(1).cast("long"), F.expr(f"turn div {STEP}"))
+        rest = placed.join(open_bands, "key", "left_semi").select("key", "hash", "mark", step.alias("turn"), F.col("turn").alias("before"), "component")
+        rest = stage(rest, "band-members")
+        if rest.isEmpty():
+            return found
 
 
 def dropped_lines(docs: DataFrame, least: float = LEAST) -> DataFrame:
@@ -140,31 +230,30 @@ def dropped_lines(docs: DataFrame, least: float = LEAST) -> DataFrame:
     word always stay. Repeated rows are the same document and lose the same lines. Documents that lose none, null
     and empty texts have no row. A null doc_id comes after all others. No other column is read.
     """
-    lines = split_lines(docs).select("doc_id", "version", "line_no", F.xxhash64("line").alias("hash"), bands(F.col("line")).alias("bands"))
-    lines = stage(lines, "lines")
-    ends = 2 * (ENDS - 1)
-    # Fixed-width columns, so that the aggregate stays a hash aggregate: equal lines have equal bands.
-    spread = [F.get("bands", F.lit(k)).alias(f"b{k}") for k in range(ends)]
-    distinct = (
-        lines.select("doc_id", "hash", *spread)
-        .groupBy("hash")
-        .agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"), *[F.max(f"b{k}").alias(f"b{k}") for k in range(ends)])
-        .select("hash", "first_doc", "n", F.array_compact(F.array(*[f"b{k}" for k in range(ends)])).alias("bands"))
-    )
-    distinct = stage(distinct, "distinct-lines")
-    joined = connected_components(links(docs, distinct, least)).withColumnsRenamed({"node": "_node"})
-    # Only lines that have an equal or a linked one can go.
-    several = distinct.join(joined, distinct["hash"] == joined["_node"], "left").filter("n > 1 or component is not null")
-    several = stage(several.select("hash", "first_doc", F.coalesce("component", "hash").alias("component")), "several-lines")
-    first = several.groupBy("component").agg(F.min("first_doc").alias("_first"))
-    member = several.join(first, "component").select("hash", "component", "_first")
-    among = lines.select("doc_id", "version", "line_no", "hash").join(member, "hash")
-    leading = F.col("doc_id").eqNullSafe(F.col("_first"))
-    place = F.struct("version", "line_no")
-    inside = Window.partitionBy("doc_id", "component")
-    later = among.filter(leading).withColumn("_kept", F.min(place).over(inside)).filter(place > F.col("_kept"))
-    gone = among.filter(~leading).select("doc_id", "version", "line_no").unionByName(later.select("doc_id", "version", "line_no"))
-    return gone.groupBy("doc_id", "version").agg(F.sort_array(F.collect_set("line_no")).alias("dropped"))
+    with scratch(docs.sparkSession) as keep:
+        lines = stage(numbered_lines(docs), "lines")
+        one = [F.first(c).alias(c) for c in ("doc_id", "version", "line_no")]
+        distinct = stage(lines.groupBy("hash").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"), *one), "distinct-lines")
+        members = stage(shared_bands(docs, distinct), "shared-bands")
+        wanted = distinct.join(members.select("hash").distinct(), "hash", "left_semi")
+        texts = _line_texts(docs, wanted, _held, "hash long, line string").dropDuplicates(["hash"])
+        joined = connected_components(links(members, stage(texts, "line-texts"), least)).withColumnsRenamed({"node": "_node"})
+        # Only lines that have an equal or a linked one can go.
+        several = distinct.join(joined, distinct["hash"] == joined["_node"], "left").filter("n > 1 or component is not null")
+        several = stage(several.select("hash", "first_doc", F.coalesce("component", "hash").alias("component")), "several-lines")
+        first = several.groupBy("component").agg(F.min("first_doc").alias("_first"))
+        member = several.join(first, "component").select("hash", "component", "_first")
+        among = lines.join(member, "hash")
+        leading = F.col("doc_id").eqNullSafe(F.col("_first"))
+        place = F.struct("version", "line_no")
+        inside = Window.partitionBy("doc_id", "component")
+        later = among.filter(leading).withColumn("_kept", F.min(place).over(inside)).filter(place > F.col("_kept"))
+        gone = among.filter(~leading).select("doc_id", "version", "line_no").unionByName(later.select("doc_id", "version", "line_no"))
+        return keep(gone.groupBy("doc_id", "version").agg(F.sort_array(F.collect_set("line_no")).alias("dropped")), "dropped-lines")
+
+
+def _held(hashes: list[int], lines: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(lines, pa.string())], ["hash", "line"])
 
 
 def without_lines(docs: DataFrame, dropped: DataFrame) -> DataFrame:
@@ -174,7 +263,7 @@ def without_lines(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """
     columns = docs.columns
     gone = dropped.select(F.col("doc_id").alias("__doc"), F.col("version").alias("__version"), F.col("dropped").alias("__dropped"))
-    joined = docs.join(gone, (F.xxhash64("text") == F.col("__version")) & docs["doc_id"].eqNullSafe(F.col("__doc")), "left")
+    joined = docs.join(gone, (text_version() == F.col("__version")) & docs["doc_id"].eqNullSafe(F.col("__doc")), "left")
     rest = F.array_join(F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains("__dropped", i)), "\n")
     return joined.select(*[F.when(F.col("__dropped").isNull(), F.col("text")).otherwise(rest).alias(c) if c == "text" else F.col(f"`{c}`") for c in columns])
 

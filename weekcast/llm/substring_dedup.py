@@ -20,11 +20,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from weekcast.llm.byte_words import Rolling, Words, joined, mixed, portions
 from weekcast.llm.fm_index import FmIndex
 from weekcast.llm.rows import free_token_memory
+from weekcast.llm.texts import text_rows, with_texts
 from weekcast.operators.scale import spread_join
 from weekcast.session import stage
 
@@ -39,15 +40,6 @@ FRAGMENTS = "doc_id long, version long, seed long, digest long, start long, n in
 PIECES = "route long, piece long, weight long, n int, words binary"
 
 
-def version() -> Column:
-    """A hash that tells texts of the same doc_id apart."""
-    return F.xxhash64(F.lit(2), F.coalesce(F.col("text").cast("string"), F.lit("")))
-
-
-def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), version().alias("version"), F.col("text").cast("string").alias("text"))
-
-
 def least_grams(grams: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray]:
     """Least of each ``wide`` consecutive values, and its place, the last of equals."""
     values, places, have = grams, np.arange(len(grams)), 1
@@ -103,26 +95,7 @@ def fragments(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFr
             numbers = [pa.array(gram.astype(np.uint64).view(np.int64)), pa.array(digest.astype(np.uint64).view(np.int64)), pa.array(start, pa.int64()), pa.array(n, pa.int32())]
             yield pa.RecordBatch.from_arrays([*taken.columns, *numbers], ["doc_id", "version", "seed", "digest", "start", "n"])
 
-    return _rows(docs).mapInArrow(cut, FRAGMENTS)
-
-
-def packed_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, version and the text as a zstandard frame, for texts that go through a shuffle."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            frames = [press.compress(t or b"") for t in batch.column(2).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(frames, pa.binary())], ["doc_id", "version", "packed"])
-
-    return _rows(docs).mapInArrow(pack, "doc_id long, version long, packed binary")
-
-
-def _with_texts(docs: DataFrame, by_document: DataFrame, how: str) -> DataFrame:
-    """``packed_texts`` beside the one row that ``by_document`` (doc_id, version, places) has for each."""
-    wanted = by_document.select(F.col("doc_id").alias("_doc"), F.col("version").alias("_version"), "places")
-    texts = packed_texts(docs)
-    return texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["_doc"]) & (texts["version"] == wanted["_version"]), how).select("doc_id", "packed", "places")
+    return text_rows(docs).mapInArrow(cut, FRAGMENTS)
 
 
 def _extracted(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
@@ -157,7 +130,7 @@ def _extracted(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     by_document = wanted.groupBy("doc_id", "version").agg(places)
-    return _with_texts(docs, by_document, "inner").mapInArrow(
+    return with_texts(docs, by_document, "inner").mapInArrow(
         extract, "seed long, digest long, shift int, route long, piece long, weight long, n int, words binary"
     )
 
@@ -254,4 +227,4 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, seed: int = SEED, shard_
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept"])
 
     found = repeats(docs, window, seed, shard_words, most_fragments)
-    return _with_texts(docs, found, "left").mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept string")
+    return with_texts(docs, found, "left").mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept string")
