@@ -165,11 +165,11 @@ def test_all_similar_lines_of_a_band_are_joined(spark, monkeypatch, few):
     lines = [x for g in groups for x in g] + [text(200) for _ in range(20)]
     hashes = {x: L.line_hash(x) for x in lines}
     members = spark.createDataFrame([(key, hashes[x]) for k, x in enumerate(lines) for key in (7, 8 + k % 2)], "key long, hash long")
-    found = L.links(members, spark.createDataFrame([(h, x) for x, h in hashes.items()], "hash long, line string")).collect()
+    found = L.joined_lines(members, spark.createDataFrame([(h, x) for x, h in hashes.items()], "hash long, line string")).collect()
     sets, at = line_sets(lines), {hashes[x]: k for k, x in enumerate(lines)}
     near = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
     assert len(near) >= 8
-    assert joined_by_hand(len(lines), [(at[r["u"]], at[r["v"]]) for r in found]) == joined_by_hand(len(lines), near)
+    assert joined_by_hand(len(lines), [(at[r["node"]], at[r["component"]]) for r in found]) == joined_by_hand(len(lines), near)
 
 
 def test_near_lines_of_all_kinds_share_a_band():

@@ -190,8 +190,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float, name: str) -> Da
     return stage(read.mapInArrow(alike, "u long, v long"), name)
 
 
-def links(members: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
-    """Verified links (u, v) that join all similar lines of a band, though not each pair of them has its own.
+def joined_lines(members: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
+    """(node, component) of lines with verified links, which join all similar lines of a band.
+
+    Not each similar pair has a link of its own.
 
     ``members``: key, hash of lines that share a band; ``texts``: hash, line of them.
     """
@@ -211,7 +213,7 @@ def links(members: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFra
         pairs = stage(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "line-pairs")
         new = _verified(pairs, texts, least, "line-links")
         found = new if found is None else stage(found.unionByName(new), "all-links")
-        joined = connected_components(found)
+        joined = stage(connected_components(found), "joined-lines")
         placed = rest.drop("component").filter("turn > 1").join(joined, rest["hash"] == joined["node"], "left")
         placed = placed.select("key", "hash", "mark", "turn", F.coalesce("component", "hash").alias("component"))
         placed = stage(placed, "placed-members")
@@ -220,7 +222,7 @@ def links(members: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFra
         rest = placed.join(open_bands, "key", "left_semi").select("key", "hash", "mark", step.alias("turn"), F.col("turn").alias("before"), "component")
         rest = stage(rest, "band-members")
         if rest.isEmpty():
-            return found
+            return joined
 
 
 def dropped_lines(docs: DataFrame, least: float = LEAST) -> DataFrame:
@@ -237,7 +239,7 @@ def dropped_lines(docs: DataFrame, least: float = LEAST) -> DataFrame:
         members = stage(shared_bands(docs, distinct), "shared-bands")
         wanted = distinct.join(members.select("hash").distinct(), "hash", "left_semi")
         texts = _line_texts(docs, wanted, _held, "hash long, line string").dropDuplicates(["hash"])
-        joined = connected_components(links(members, stage(texts, "line-texts"), least)).withColumnsRenamed({"node": "_node"})
+        joined = joined_lines(members, stage(texts, "line-texts"), least).withColumnsRenamed({"node": "_node"})
         # Only lines that have an equal or a linked one can go.
         several = distinct.join(joined, distinct["hash"] == joined["_node"], "left").filter("n > 1 or component is not null")
         several = stage(several.select("hash", "first_doc", F.coalesce("component", "hash").alias("component")), "several-lines")
