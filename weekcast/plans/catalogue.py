@@ -6,6 +6,7 @@ from weekcast.plans import (  # noqa: F401
     queries_ingest,
     queries_news,
     queries_ops,
+    queries_store,
 )
 from weekcast.plans.registry import ORACLES, QUERIES
 

@@ -7,6 +7,8 @@ snapshots is no hot task.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from weekcast.constants import (
@@ -56,18 +58,40 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
-def read_raw(spark: SparkSession, root: str) -> DataFrame:
-    """All JSON files below ``root``/data/raw as (path, text).
-
-    Spark's scan passes over folders that start with an underscore, so the migration folder is named.
-    """
+def _raw_places(spark: SparkSession, root: str) -> list[str]:
+    """Spark's scan passes over folders that start with an underscore, so the migration folder is named."""
     raw = f"{root.rstrip('/')}/data/raw"
     migrated = f"{raw}/US/_sif_envelopes_all"
-    places = [raw, *([migrated] if _exists(spark, migrated) else [])]
-    files = (
-        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(places, wholetext=True)
-    )
-    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return [raw, *([migrated] if _exists(spark, migrated) else [])]
+
+
+def file_day(path: Column) -> Column:
+    """Date at the front of a file name, or NULL."""
+    return strict_date(F.substring(F.regexp_extract(path, r"([^/]+)\.json$", 1), 1, 10))
+
+
+def list_raw(spark: SparkSession, root: str) -> DataFrame:
+    """(path, bytes, modified) of all JSON files below ``root``/data/raw; no file is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(_raw_places(spark, root))
+    return files.select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+
+
+def read_raw(spark: SparkSession, root: str, provider: str | None = None, kind: str | None = None, as_of: dt.date | None = None) -> DataFrame:
+    """JSON files below ``root``/data/raw as (path, text).
+
+    With ``provider``, ``kind`` or ``as_of`` only files that can win are opened: the scan drops the others by their
+    path, while it lists files. A name without a date may have any.
+    """
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(_raw_places(spark, root), wholetext=True)
+    # The scan gives paths as in a URL, in which a plus sign stands for itself.
+    path = F.try_url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    if provider is not None:
+        files = files.filter(layout(path, provider).isNotNull())
+    if provider is not None and kind is not None:
+        files = files.filter(layout(path, provider)["kind"] == kind)
+    if as_of is not None:
+        files = files.filter(F.coalesce(file_day(path) <= F.lit(as_of), F.lit(True)))
+    return files.select(path.alias("path"), F.col("value").alias("text"))
 
 
 def envelope_provider(source: Column, tool: Column) -> Column:
@@ -81,13 +105,13 @@ def envelope_provider(source: Column, tool: Column) -> Column:
 
 def parse_envelopes(raw: DataFrame, provider: str) -> DataFrame:
     """(path, text) to one row per readable envelope of ``provider`` at one of its places."""
-    parsed = raw.withColumn(
+    placed = raw.withColumn("_place", layout(F.col("path"), provider)).filter("_place is not null")
+    parsed = placed.withColumn(
         "_e", F.from_json("text", ENVELOPE, {"columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE"})
     )
     return (
         parsed.filter("_e is not null and _e._corrupt is null")
-        .select("path", layout(F.col("path"), provider).alias("_place"), "_e.*")
-        .filter("_place is not null")
+        .select("path", "_place", "_e.*")
         .select("path", "_place.*", *[c.split()[0] for c in ENVELOPE.split(", ") if "_corrupt" not in c])
         .withColumn("provider", envelope_provider(F.col("source"), F.col("tool")))
         .filter(F.col("provider") == provider)
@@ -96,10 +120,9 @@ def parse_envelopes(raw: DataFrame, provider: str) -> DataFrame:
 
 def snapshot_date(path: Column, fetched_at: Column, provider: Column, labels: Column) -> Column:
     """Date in the file name, else of the fetch, else (vendor B) a week after the last label."""
-    stem = F.regexp_extract(path, r"([^/]+)\.json$", 1)
     newest = F.array_max(labels)
     return F.coalesce(
-        strict_date(F.substring(stem, 1, 10)),
+        file_day(path),
         strict_date(F.substring(fetched_at, 1, 10)),
         F.when(provider == VENDOR_B, F.date_add(strict_date(newest), 7)),
     )
