@@ -25,15 +25,20 @@ class Dataset:
         self.raw, self.catalog, self.provider = raw, catalog, provider
         self.cut = F.lit(as_of)
 
+    def _latest(self, kind: str, provider: str) -> DataFrame:
+        """Winning envelopes: every file is parsed once, and only keys are compared."""
+        found = candidates(self.raw, self.catalog, kind, provider).filter(F.col("error").isNull() & (F.col("snapshot") <= self.cut))
+        return latest_valid(stage(found, "valid-envelopes"), self.cut)
+
     @cached_property
     def amazon(self) -> DataFrame:
         """Chosen Amazon envelope per ingredient with ``problem``."""
-        best = latest_valid(candidates(self.raw, self.catalog, "amazon", self.provider), self.cut)
+        best = self._latest("amazon", self.provider)
         return stage(best.withColumn("problem", history_problem(F.col("history"), self.cut)), "amazon")
 
     @cached_property
     def trends(self) -> DataFrame:
-        best = latest_valid(candidates(self.raw, self.catalog, "google", VENDOR_A), self.cut)
+        best = self._latest("google", VENDOR_A)
         return stage(best.withColumn("problem", trend_problem(F.col("items"), self.cut)), "trends")
 
     @cached_property

@@ -585,3 +585,37 @@ def deploy_forecast(spark, folder):
 def analysis_warnings(spark, folder):
     """Warning codes of the run, reported 30 days after the cut."""
     return full(spark, folder).warnings(F.date_add(F.lit(T.AS_OF), 30))
+
+
+@query("ridge_calibration", _six(f"{_SIX_SQL} SELECT * FROM calibrated", (), ("low", "high")))
+def ridge_calibration(spark, folder):
+    """A6 over all six models."""
+    return rounded(full(spark, folder).calibration.drop("n_origins"))
+
+
+@query(
+    "ridge_sealed_audit",
+    _six(f"""{_CHOICE_SQL}, sealed AS (SELECT p.horizon_weeks, p.model AS chosen, l.actual, b.predicted AS base, l.predicted AS ours
+        FROM chosen6 p JOIN six l ON l.horizon_weeks = p.horizon_weeks AND l.model = p.model AND l.split = 'sealed_test'
+        JOIN six b ON b.horizon_weeks = l.horizon_weeks AND b.ingredient_id = l.ingredient_id AND b.origin = l.origin AND b.model = 'last13mean')
+      SELECT horizon_weeks, chosen, count(*) AS n_matching_cases, sum(abs(actual - ours)) / sum(actual) AS model_wape,
+        sum(abs(actual - base)) / sum(actual) AS baseline_wape, avg(abs(actual - ours)) AS model_mae, avg(abs(actual - base)) AS baseline_mae,
+        false AS used_for_selection, (chosen <> 'last13mean' AND sum(abs(actual - ours)) / sum(actual) >= sum(abs(actual - base)) / sum(actual)) AS failed_sealed_test
+      FROM sealed GROUP BY 1, 2""", (), ("model_wape", "baseline_wape", "model_mae", "baseline_mae")),
+)
+def ridge_sealed_audit(spark, folder):
+    """M13 over all six models."""
+    return rounded(full(spark, folder).sealed_audit)
+
+
+@query(
+    "ridge_displayed",
+    _six(f"""{_CHOICE_SQL}
+      SELECT l.ingredient_id, l.family_id, l.origin, l.target_end, l.horizon_weeks, l.split, l.model, l.actual, l.predicted, l.baseline
+      FROM six l JOIN chosen6 p USING (horizon_weeks) WHERE l.model IN (p.model, 'last13mean')
+      QUALIFY row_number() OVER (PARTITION BY l.ingredient_id, l.horizon_weeks, l.origin ORDER BY CASE WHEN l.model = p.model THEN 0 ELSE 1 END) = 1""",
+         ("origin", "target_end"), ("actual", "predicted", "baseline")),
+)
+def ridge_displayed(spark, folder):
+    """M12 over all six models: the chosen model's row per case, else the baseline's."""
+    return rounded(full(spark, folder).displayed.select(*LONG))

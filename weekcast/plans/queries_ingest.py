@@ -65,7 +65,7 @@ def envelope_verdicts(spark, folder):
 def latest_valid_query(spark, folder):
     """Newest valid envelope per ingredient on the as-of date."""
     found = candidates(R.vendor_a_files(spark, folder), R.catalog(spark, folder), "amazon", VENDOR_A)
-    return latest_valid(found, F.lit(R.RAW_AS_OF)).select("ingredient_id", "path", "snapshot")
+    return latest_valid(found.select("ingredient_id", "path", "snapshot", "priority", "error", "history"), F.lit(R.RAW_AS_OF)).select("ingredient_id", "path", "snapshot")
 
 
 @query("envelope_panel", plain(f"WITH {_PANEL_RAW} SELECT ingredient_id, week_end, searches, rank, google_trend FROM panel_raw", ("week_end",), ("searches", "rank", "google_trend")))

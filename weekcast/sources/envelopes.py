@@ -250,12 +250,19 @@ def candidates(raw: DataFrame, catalog: DataFrame, kind: str, provider: str) ->
     return checked.withColumn("items", items).drop("payload", "payload_error")
 
 
-def latest_valid(found: DataFrame, as_of: Column) -> DataFrame:
-    """Newest valid envelope per ingredient: latest snapshot, then best place, then greatest path."""
+def latest_files(found: DataFrame, as_of: Column) -> DataFrame:
+    """(ingredient_id, path) of the newest valid envelope: latest snapshot, then best place, then greatest path.
+
+    Only these keys are shuffled and compared, whatever else ``found`` has.
+    """
     usable = found.filter(F.col("error").isNull() & (F.col("snapshot") <= as_of))
     order = F.struct("snapshot", -F.col("priority"), "path")
-    row = F.struct(*[c for c in usable.columns if c != "ingredient_id"])
-    return usable.groupBy("ingredient_id").agg(F.max_by(row, order).alias("_best")).select("ingredient_id", "_best.*")
+    return usable.groupBy("ingredient_id").agg(F.max(order).alias("_best")).select("ingredient_id", F.col("_best.path").alias("path"))
+
+
+def latest_valid(found: DataFrame, as_of: Column) -> DataFrame:
+    """Newest valid envelope per ingredient with its payload, which is joined to the winners' keys."""
+    return found.join(latest_files(found, as_of), ["ingredient_id", "path"], "left_semi")
 
 
 def trend_problem(items: Column, as_of: Column) -> Column:
