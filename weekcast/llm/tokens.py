@@ -7,10 +7,13 @@ encoding the whole text at once (the tests compare the two).
 
 from __future__ import annotations
 
+import os
 import re
 
 from tokenizers import Tokenizer
 
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a Spark task has one core
+
 #: A chunk: leading white space, visible characters, and white space that doesn't begin with a blank or line feed.
 CHUNK = re.compile(r"\s*\S+(?:(?![ \n])\s+\S*)*|\s+")
 CLOSING = ".,!?;:"
@@ -58,7 +61,8 @@ class ChunkCodes(dict):
         return None
 
     def plain(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        # The call for batches that leaves out offsets; the ids are the same.
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def __missing__(self, piece: str) -> bytes:
         code = self.older.get(piece)
