@@ -32,6 +32,8 @@ from weekcast.llm.tokens import codes_for
 MAGIC = b"DAC1"
 SEGMENT_TOKENS = 1 << 18
 BLOCK = 512
+#: Chunks of text remembered in a Python worker, which does nothing else here.
+KEEP = 800_000
 SEGMENTS = "part int, number int, tokens_before long, n_docs long, n_tokens long, segment binary"
 DIRECTORY = "part int, first_token long, n_tokens long"
 
@@ -111,7 +113,7 @@ class Segment:
 
 
 def _segments(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, names_as_text: bool) -> Iterator[pa.RecordBatch]:
-    codes, end = codes_for(tokenizer, names_as_text=names_as_text), int(end_id).to_bytes(4, "little")
+    codes, end = codes_for(tokenizer, KEEP, names_as_text), int(end_id).to_bytes(4, "little")
     part, number, before = TaskContext.get().partitionId(), 0, 0
     doc_ids, ids, size = [], [], 0
 
