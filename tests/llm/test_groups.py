@@ -10,7 +10,7 @@ import xxhash
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from weekcast.llm import fuzzy_lines as L, link_trust as U, rule_cascade as Q, simhash_bytes as S, string_tiling as G
+from weekcast.llm import fuzzy_lines as L, link_trust as U, rule_cascade as Q, simhash_bytes as S, string_tiling as G, union_find as V
 
 SPACE = r"[^\x20\x09-\x0D]+"
 
@@ -172,6 +172,37 @@ def test_all_similar_lines_of_a_band_are_joined(spark, monkeypatch, few):
     assert joined_by_hand(len(lines), [(at[r["node"]], at[r["component"]]) for r in found]) == joined_by_hand(len(lines), near)
 
 
+def test_union_find_against_a_walk(spark, monkeypatch):
+    """Stars, chains, loops and repeats, united in one block and in blocks so small that a core is left."""
+    rng = np.random.default_rng(5)
+    chain = [(k + 1, k) for k in range(100, 160)]
+    star = [(500, k) for k in range(501, 700)]
+    loose = [tuple(map(int, rng.integers(1000, 1400, 2))) for _ in range(250)]
+    edges = chain + star + loose + [(7, 7), (-3, 9), (9, -3), (-3, 9)]
+    near: dict[int, set[int]] = {}
+    for a, b in edges:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want = {}
+    for node in sorted(near):
+        todo = [] if node in want else [node]
+        while todo:
+            at = todo.pop()
+            if at not in want:
+                want[at] = node
+                todo += near[at]
+    table = spark.createDataFrame(edges, "u long, v long").repartition(5)
+    assert {r.node: r.component for r in V.components(table).collect()} == want
+    assert V.components(table.filter("u = 0")).count() == 0
+    monkeypatch.setattr(V, "BLOCK", 1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        assert {r.node: r.component for r in V.components(table).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_near_lines_of_all_kinds_share_a_band():
     """Without blanks, of two words of which the second begins otherwise, and with letters changed all over."""
     rng = np.random.default_rng(12)

@@ -18,6 +18,7 @@ Lines go by a 64-bit hash; two different lines with the same hash would count as
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from weekcast.llm.byte_words import mixed
 from weekcast.llm.rows import free_token_memory
 from weekcast.llm.texts import text_rows, text_version, with_texts
-from weekcast.operators.components import connected_components
+from weekcast.llm.union_find import components
+from weekcast.operators.scale import spread_join
 from weekcast.session import scratch, stage
 
 BANDS, ROWS = 20, 6
@@ -168,13 +170,13 @@ def shared_bands(docs: DataFrame, distinct: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float, name: str) -> DataFrame:
-    """Those of ``pairs`` (u, v) whose lines in ``texts`` (hash, line) are similar, written."""
+    """(cu, cv) of those of ``pairs`` (u, v, cu, cv) whose lines in ``texts`` (hash, line) are similar, written."""
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             known: dict[int, set[str]] = {}
             kept = []
-            for u, v, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for u, v, a, b in zip(*(batch.column(c).to_pylist() for c in ("u", "v", "_a", "_b")), strict=True):
                 for name, line in ((u, a), (v, b)):
                     if name not in known:
                         known[name] = shingles(line)
@@ -183,11 +185,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float, name: str) -> Da
                 kept.append(both >= least * (len(x) + len(y) - both))
                 if len(known) > 2000:
                     known.clear()
-            yield batch.select(["u", "v"]).filter(pa.array(kept, pa.bool_()))
+            yield batch.select(["cu", "cv"]).filter(pa.array(kept, pa.bool_()))
 
     side = lambda name, text: texts.select(F.col("hash").alias(name), F.col("line").alias(text))
-    read = pairs.join(side("u", "_a"), "u").join(side("v", "_b"), "v").select("u", "v", "_a", "_b")
-    return stage(read.mapInArrow(alike, "u long, v long"), name)
+    read = pairs.join(side("u", "_a"), "u").join(side("v", "_b"), "v").select("u", "v", "cu", "cv", "_a", "_b")
+    return stage(read.mapInArrow(alike, "cu long, cv long"), name)
 
 
 def joined_lines(members: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
@@ -203,26 +205,34 @@ def joined_lines(members: DataFrame, texts: DataFrame, least: float = LEAST) ->
     turns = sizes.select("key", F.when(F.col("n") <= FEW, F.lit(1)).otherwise(fewest).cast("long").alias("turn"))
     mark = F.expr("shiftrightunsigned(xxhash64(hash), 8)")
     rest = stage(members.join(turns, "key").select("key", "hash", mark.alias("mark"), "turn", F.lit(0).cast("long").alias("before"), F.col("hash").alias("component")), "band-members")
-    found = None
+    rounds = []
     while True:
         leads = F.col("mark") % F.col("turn") == 0
         led = (F.col("before") > 0) & (F.expr("mark % if(before > 0, before, 1)") == 0)
-        a = rest.filter(leads & ~led).select("key", F.col("hash").alias("u"), F.col("component").alias("_cu"))
-        b = rest.filter(~led).select("key", F.col("hash").alias("v"), F.col("component").alias("_cv"), leads.alias("_leads"))
-        pairs = a.join(b, "key").filter((F.col("_cu") != F.col("_cv")) & (~F.col("_leads") | (F.col("u") < F.col("v"))))
-        pairs = stage(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "line-pairs")
-        new = _verified(pairs, texts, least, "line-links")
-        found = new if found is None else stage(found.unionByName(new), "all-links")
-        joined = stage(connected_components(found), "joined-lines")
-        placed = rest.drop("component").filter("turn > 1").join(joined, rest["hash"] == joined["node"], "left")
-        placed = placed.select("key", "hash", "mark", "turn", F.coalesce("component", "hash").alias("component"))
-        placed = stage(placed, "placed-members")
+        a = rest.filter(leads & ~led).select("key", F.col("hash").alias("u"), F.col("component").alias("cu"))
+        b = rest.filter(~led).select("key", F.col("hash").alias("v"), F.col("component").alias("cv"), leads.alias("_leads"))
+        pairs = a.join(b, "key").filter((F.col("cu") != F.col("cv")) & (~F.col("_leads") | (F.col("u") < F.col("v"))))
+        ways = [F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.least("cu", "cv").alias("cu"), F.greatest("cu", "cv").alias("cv")]
+        pairs = stage(pairs.select(*ways).distinct(), "line-pairs")
+        # New links join what earlier rounds have made of their ends, so a round costs what it finds.
+        links = _verified(pairs, texts, least, "line-links").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
+        rounds.append(stage(components(links), "joined-components"))
+        large = rest.filter("turn > 1")
+        if large.isEmpty():
+            break
+        merged = rounds[-1].select(F.col("node").alias("component"), F.col("component").alias("_into"))
+        placed = spread_join(large, merged, ["component"]).withColumn("component", F.coalesce("_into", "component"))
+        placed = stage(placed.select("key", "hash", "mark", "turn", "component"), "placed-members")
         open_bands = placed.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).filter("_a < _b").select("key")
         step = F.greatest(F.lit(1).cast("long"), F.expr(f"turn div {STEP}"))
         rest = placed.join(open_bands, "key", "left_semi").select("key", "hash", "mark", step.alias("turn"), F.col("turn").alias("before"), "component")
         rest = stage(rest, "band-members")
         if rest.isEmpty():
-            return joined
+            break
+    if len(rounds) == 1:
+        return rounds[0]
+    chains = reduce(DataFrame.unionByName, rounds).select(F.col("node").alias("u"), F.col("component").alias("v"))
+    return stage(components(chains), "joined-lines")
 
 
 def dropped_lines(docs: DataFrame, least: float = LEAST) -> DataFrame:
