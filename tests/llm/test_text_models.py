@@ -1,5 +1,7 @@
 """Toxic segments, the string kernel and the compression classifier: planted cases and brute force."""
 
+import time
+
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -151,3 +153,22 @@ def test_keep_rows_keeps_columns(spark):
     docs = frame(spark, [(1, "a"), (2, None), (3, "b")])
     got = keep_rows(docs, lambda: lambda t: t is None or t == "b").collect()
     assert [(r["doc_id"], r["score"], r["y"]) for r in got] == [(2, 0.5, "x"), (3, 0.5, "x")]
+
+
+def test_segments_of_many_lone_words_take_linear_time():
+    """Each begins lower than all before it, so none is ever joined to another."""
+    places = list(range(0, 2_000_000, 10))
+    began = time.perf_counter()
+    assert X.maximal_segments(places, [1.0] * len(places), 0.37) == [(p, p, pytest.approx(1.0)) for p in places]
+    assert time.perf_counter() - began < 60
+
+
+def test_kernel_sample_takes_repeated_rows_once(spark, monkeypatch):
+    """Without an id, and copied so often that they would fill the driver."""
+    taken = []
+    monkeypatch.setattr(K, "fit", lambda texts, langs: taken.extend(zip(texts, langs, strict=True)))
+    copies = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("always the same words").alias("text"), F.lit("en").alias("lang"))
+    others = spark.range(3_000).select(F.lit(None).cast("long").alias("doc_id"), F.format_string("mot %06d", "id").alias("text"), F.lit("fr").alias("lang"))
+    K.learn(copies.unionByName(others), F.lit(True), 100)
+    langs = [lang for _, lang in taken]
+    assert langs.count("en") == 1 and 50 < langs.count("fr") < 160

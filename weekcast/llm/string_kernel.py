@@ -80,18 +80,20 @@ def fit(texts: list[str], langs: list[str]) -> Model:
 def learn(docs: DataFrame, learned: Column, per_language: int = PER_LANGUAGE) -> Model | None:
     """Fit on a sample of the rows that ``learned`` allows and that have a language; None without any.
 
-    About ``per_language`` documents of each language are taken by a hash of id and text, each by an excerpt of at
-    most ``LONGEST`` characters, so what the driver gets is bounded by the number of languages.
+    About ``per_language`` different rows of each language are taken by a hash of id and text, however often they are
+    repeated, each by an excerpt of at most ``LONGEST`` characters, so what the driver gets is bounded by the number of
+    languages.
     """
     known = docs.select("doc_id", "text", "lang").filter(learned & F.col("lang").isNotNull() & F.regexp_like("text", F.lit(r"\p{L}")))
-    spot = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 30))
-    shares = known.groupBy("lang").agg(F.count("*").alias("_n")).select("lang", (F.lit(float(per_language)) * (1 << 30) / F.col("_n")).alias("_most"))
+    spot = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
+    shares = known.groupBy("lang").agg(F.approx_count_distinct(spot).alias("_n")).select("lang", (F.lit(float(per_language)) * (1 << 30) / F.col("_n")).alias("_most"))
     first = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.lit(1), F.length("text") - LONGEST + 1)) + 1
     # A row per language, of which the model is made anyway: small, and without a shuffle of texts by language.
     rows = (
         known.join(F.broadcast(shares), "lang")
         .filter(spot < F.col("_most"))
         .select("lang", F.substr("text", first.cast("int"), F.lit(LONGEST)).alias("text"), spot.alias("_spot"))
+        .dropDuplicates(["lang", "_spot"])
         .orderBy("_spot", "text")
         .collect()
     )

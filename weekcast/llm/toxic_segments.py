@@ -72,7 +72,8 @@ class Weights(dict):
 def maximal_segments(places: list[int], weights: list[float], drift: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first place, last place, score) of a sequence in which each place not
     listed scores ``-drift``. Linear in the number of listed places; ties go to the shorter segment."""
-    found: list[tuple[int, int, float, float]] = []  # first, last, sum before, sum up to the end
+    # First, last, sum before, sum up to the end, and the nearest earlier candidate with a lower sum before (or -1).
+    found: list[tuple[int, int, float, float, int]] = []
     total, reached = 0.0, -1
     for place, weight in zip(places, weights, strict=True):
         total -= drift * (place - reached - 1)
@@ -81,16 +82,18 @@ def maximal_segments(places: list[int], weights: list[float], drift: float) -> l
             continue
         first, left, right = place, total, total + weight
         total, reached = right, place
-        while found:
-            k = len(found) - 1
+        k = len(found) - 1
+        while True:
+            # All between a candidate and the one it points to begin no lower than itself, so they are passed over.
             while k >= 0 and found[k][2] >= left:
-                k -= 1
+                k = found[k][4]
             if k < 0 or found[k][3] >= right:
                 break
-            first, left = found[k][0], found[k][2]
+            first, _, left, _, below = found[k]
             del found[k:]
-        found.append((first, place, left, right))
-    return [(a, b, right - left) for a, b, left, right in found]
+            k = below
+        found.append((first, place, left, right, k))
+    return [(a, b, right - left) for a, b, left, right, _ in found]
 
 
 def scan(text: str | None, weights: Weights, model: Model) -> tuple[list[str], list[tuple[int, int, float]]]:
