@@ -22,6 +22,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
@@ -44,6 +45,10 @@ FEW = 8
 STEP = 8
 #: Shingles whose minima are taken in one go.
 BLOCK = 1 << 16
+#: Characters of pairs that are verified at once, unless a pair alone has more.
+TOGETHER = 1 << 22
+#: Bits that number the lines or pairs of a block next to a shingle's hash; a block has fewer of them.
+PLACE = 17
 
 _numbers = np.random.default_rng(71)
 GRAM_FACTORS = _numbers.integers(1, 1 << 62, GRAM).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -71,11 +76,11 @@ def jaccard(a: str, b: str) -> float:
     return both / (len(x) + len(y) - both)
 
 
-def bands(lines: list[str]) -> np.ndarray:
-    """Band keys, one row per line; as equal sets of shingles have equal minima, repeats within a line don't matter."""
-    found, at = [], 0
+def _blocks(lines: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of lines in order: a 64-bit hash of each shingle, repeats included, and where each line's hashes begin."""
     sizes = np.array([max(1, len(x) - GRAM + 1) for x in lines], np.int64)
     ends = np.cumsum(sizes)
+    at = 0
     while at < len(lines):
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK, side="right")))
         # Line feeds, which no line holds, fill up lines shorter than a shingle.
@@ -84,15 +89,67 @@ def bands(lines: list[str]) -> np.ndarray:
         hashes = sum(points[k : k + wide] * GRAM_FACTORS[k] for k in range(GRAM))
         begins = np.concatenate([[0], np.cumsum([len(x) + GRAM for x in lines[at : to - 1]])]).astype(np.int64)
         first = np.concatenate([[0], np.cumsum(sizes[at : to - 1])])
-        hashes = (mixed(hashes[np.arange(sizes[at:to].sum()) + np.repeat(begins - first, sizes[at:to])]) >> np.uint64(32)).astype(np.uint32)
-        minima = np.empty((BANDS, ROWS, to - at), np.uint64)
+        yield mixed(hashes[np.arange(sizes[at:to].sum()) + np.repeat(begins - first, sizes[at:to])]), first
+        at = to
+
+
+def bands(lines: list[str]) -> np.ndarray:
+    """Band keys, one row per line; as equal sets of shingles have equal minima, repeats within a line don't matter."""
+    found = []
+    for wide, first in _blocks(lines):
+        hashes = (wide >> np.uint64(32)).astype(np.uint32)
+        minima = np.empty((BANDS, ROWS, len(first)), np.uint64)
         for k in range(BANDS * ROWS):
             minima[k // ROWS, k % ROWS] = np.minimum.reduceat((hashes + ORDER_SHIFTS[k]) * ORDER_FACTORS[k], first)
         found.append(mixed((minima * ROW_FACTORS[None, :, None]).sum(axis=1) + np.arange(BANDS, dtype=np.uint64)[:, None]).T)
-        at = to
     return np.concatenate(found) if found else np.zeros((0, BANDS), np.uint64)
 
 
+def _sets(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct shingle hashes of each line one after the other, where each line's begin, and how many it has."""
+    values, counts = [], []
+    for hashes, first in _blocks(lines):
+        place = np.zeros(len(hashes), np.uint64)
+        place[first[1:]] = 1
+        # A hash keeps the bits that the line's number in its block leaves.
+        held = np.sort((np.cumsum(place) << np.uint64(64 - PLACE)) | (hashes >> np.uint64(PLACE)))
+        held = held[np.concatenate([[True], held[1:] != held[:-1]])]
+        values.append(held & np.uint64((1 << 64 - PLACE) - 1))
+        counts.append(np.bincount((held >> np.uint64(64 - PLACE)).astype(np.int64), minlength=len(first)))
+    sizes = np.concatenate(counts)
+    return np.concatenate(values), np.cumsum(sizes) - sizes, sizes
+
+
+def similar_pairs(lines: list[str], a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Whether lines ``a[k]`` and ``b[k]`` (places in ``lines``) have a Jaccard similarity of ``least`` or more.
+
+    Shingles are counted by hashes of 47 bits; pairs for which up to two equal hashes of different shingles could
+    matter are counted by the shingles themselves.
+    """
+    values, begins, sizes = _sets(lines)
+    alike = np.zeros(len(a), bool)
+    ends = np.cumsum(sizes[a] + sizes[b])
+    at = 0
+    while at < len(a):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 4 * BLOCK, side="right")))
+        to = min(to, at + (1 << PLACE))
+        which = np.concatenate([a[at:to], b[at:to]])
+        n = sizes[which]
+        row = np.repeat(np.arange(len(which)), n)
+        taken = values[np.arange(n.sum()) + np.repeat(begins[which] - (np.cumsum(n) - n), n)]
+        keys = np.sort((row % (to - at)).astype(np.uint64) << np.uint64(64 - PLACE) | taken)
+        twice = keys[1:][keys[1:] == keys[:-1]] >> np.uint64(64 - PLACE)
+        both = np.bincount(twice.astype(np.int64), minlength=to - at)
+        apart = both - least * (sizes[a[at:to]] + sizes[b[at:to]] - both)
+        alike[at:to] = apart >= 0
+        for k in np.flatnonzero(np.abs(apart) <= 2 * (1 + least)):
+            x, y = shingles(lines[a[at + k]]), shingles(lines[b[at + k]])
+            common = len(x & y)
+            alike[at + k] = common >= least * (len(x) + len(y) - common)
+        at = to
+    return alike
+
+
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, version, line_no and hash of all lines with a word."""
     free_token_memory()
@@ -141,7 +198,10 @@ def _banded(hashes: list[int], lines: list[str]) -> pa.RecordBatch:
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, hash) in order, those whose key another hash has too, once each."""
+    """Of rows (key, hash) in the order of keys, those whose key another hash has too.
+
+    A row that is there repeatedly may come out more than once, where it lies in several batches.
+    """
     keys = hashes = np.zeros(0, np.int64)
     met = False  # whether the row that is held back had its key in common with the one before it
 
@@ -149,8 +209,10 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(keys[which]), pa.array(hashes[which])], ["key", "hash"])
 
     for batch in batches:
-        keys = np.concatenate([keys[-1:], np.asarray(batch.column(0))])
-        hashes = np.concatenate([hashes[-1:], np.asarray(batch.column(1))])
+        more, others = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+        order = np.lexsort((others, more))
+        keys = np.concatenate([keys[-1:], more[order]])
+        hashes = np.concatenate([hashes[-1:], others[order]])
         new = np.ones(len(keys), bool)
         new[1:] = (keys[1:] != keys[:-1]) | (hashes[1:] != hashes[:-1])
         keys, hashes = keys[new], hashes[new]
@@ -166,7 +228,8 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def shared_bands(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """(key, hash) of the bands that several of the ``distinct`` lines share."""
     keyed = _line_texts(docs, distinct, _banded, "key long, hash long")
-    return keyed.repartition("key").sortWithinPartitions("key", "hash").mapInArrow(_met, "key long, hash long")
+    # By one number, which Spark sorts without comparing rows.
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_met, "key long, hash long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float, name: str) -> DataFrame:
@@ -174,18 +237,24 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float, name: str) -> Da
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known: dict[int, set[str]] = {}
-            kept = []
-            for u, v, a, b in zip(*(batch.column(c).to_pylist() for c in ("u", "v", "_a", "_b")), strict=True):
-                for name, line in ((u, a), (v, b)):
-                    if name not in known:
-                        known[name] = shingles(line)
-                x, y = known[u], known[v]
-                both = len(x & y) if min(len(x), len(y)) >= least * max(len(x), len(y)) else 0
-                kept.append(both >= least * (len(x) + len(y) - both))
-                if len(known) > 2000:
-                    known.clear()
-            yield batch.select(["cu", "cv"]).filter(pa.array(kept, pa.bool_()))
+            ends = np.array(pc.add(pc.utf8_length(batch.column("_a")), pc.utf8_length(batch.column("_b"))), np.int64).cumsum()
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TOGETHER, side="right")))
+                part = batch.slice(at, to - at)
+                known: dict[int, int] = {}
+                lines: list[str] = []
+                places = []
+                for name, text in (("u", "_a"), ("v", "_b")):
+                    column = part.column(text)
+                    ids = part.column(name).to_pylist()
+                    for k, one in enumerate(ids):
+                        if one not in known:
+                            known[one] = len(lines)
+                            lines.append(column[k].as_py())
+                    places.append(np.array([known[one] for one in ids], np.int64))
+                yield part.select(["cu", "cv"]).filter(pa.array(similar_pairs(lines, *places, least)))
+                at = to
 
     side = lambda name, text: texts.select(F.col("hash").alias(name), F.col("line").alias(text))
     read = pairs.join(side("u", "_a"), "u").join(side("v", "_b"), "v").select("u", "v", "cu", "cv", "_a", "_b")
