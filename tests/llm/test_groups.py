@@ -151,6 +151,25 @@ def test_exact_jaccard_of_short_and_long_lines():
     assert [L.jaccard(a, b) for a, b in pairs] == [pytest.approx(len(a & b) / len(a | b)) for a, b in sets]
 
 
+@pytest.mark.parametrize("block", [1 << 16, 40])
+def test_pairs_in_bulk_equal_sets(monkeypatch, block):
+    """Random near pairs, with empty, short and repeated lines, in one block and in blocks of a line or two."""
+    monkeypatch.setattr(L, "BLOCK", block)
+    rng = np.random.default_rng(12)
+    lines = ["", "a", "abcd", "abcde", "abcde" * 40, "\U0001f600" * 9 + "abc"]
+    for _ in range(60):
+        body = list(rng.choice(list("abcdefgh é"), rng.integers(1, 150)))
+        lines.append("".join(body))
+        for _ in range(int(rng.integers(0, 6))):
+            body[int(rng.integers(0, len(body)))] = "ß"
+        lines.append("".join(body))
+    a = rng.integers(0, len(lines), 1500)
+    b = np.where(rng.random(1500) < 0.5, np.minimum(a ^ 1, len(lines) - 1), rng.integers(0, len(lines), 1500))
+    for least in (0.5, 0.8, 1.0):
+        want = [L.jaccard(lines[x], lines[y]) >= least for x, y in zip(a, b, strict=True)]
+        assert L.similar_pairs(lines, a, b, least).tolist() == want and any(want)
+
+
 @pytest.mark.parametrize("few", [2, 8])
 def test_all_similar_lines_of_a_band_are_joined(spark, monkeypatch, few):
     """One band holds all lines, so most of its lines are strangers to its leaders."""

@@ -1,7 +1,8 @@
 """Distributed union-find over a table of edges between 64-bit nodes.
 
-Each task unites the edges that it holds and keeps one edge per node, to the least node of its set. Dealt by that
-node, which has one edge per task at most, the rest is united once more. Then a node with a single edge that leads
+Edges are united in as many tasks as they fill blocks of ``BLOCK``; each keeps one edge per node, to the least node
+of its set. A single block is done by that. Otherwise the rest, dealt by node, which has one edge per task at most,
+is united once more. Then a node with a single edge that leads
 nowhere else is a leaf and is set aside. Only what is left, the core, goes through star rounds; most often it is empty
 or small. The order of edges, their repeats and loops change nothing.
 """
@@ -18,7 +19,7 @@ from weekcast.operators.components import connected_components
 from weekcast.operators.scale import spread_join
 from weekcast.session import stage
 
-#: Edges that a task unites at once; it bounds its memory; sets cut by that meet in the core.
+#: Edges that a task unites at once, whatever their number in all; it bounds its memory.
 BLOCK = 1 << 20
 
 
@@ -58,9 +59,17 @@ def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of all nodes that an edge (u, v; long, not null) joins to another; component is the least node."""
-    united = edges.select("u", "v").mapInArrow(_united, "u long, v long").repartition("u").mapInArrow(_united, "u long, v long")
-    forest = stage(united, "forest")
+    """(node, component) of all nodes that an edge (u, v; long, not null) joins to another; component is the least node.
+
+    ``edges`` is read twice, so it had best be a written table.
+    """
+    blocks = -(-edges.count() // BLOCK)
+    united = edges.select("u", "v").coalesce(max(1, blocks)).mapInArrow(_united, "u long, v long")
+    if blocks <= 1:
+        trees = stage(united, "forest")
+        heads = trees.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
+        return trees.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(heads)
+    forest = stage(united.repartition("u").mapInArrow(_united, "u long, v long"), "forest")
     ends = forest.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
     ends = ends.unionByName(forest.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
     leaf = (F.sum("up") == 1) & (F.sum("down") == 0)
