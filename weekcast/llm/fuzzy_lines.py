@@ -10,9 +10,11 @@ each, by doc_id and line number, stays.
 In a band that many lines share, not all pairs are made. A few lines lead: all that aren't in a leader's component yet
 are compared with it. Then components are joined, bands that lie in one component are done with, and in the
 others more lines lead, eight times as many each round, until all have led. So a band of similar lines costs one
-round or two, whatever its size, and no pair of a band is left open.
+round or two, whatever its size, and no pair of a band is left open. A large band whose lines stay in several components
+compares all lines of different ones, which is as many lines as it has times those outside its largest component.
 
-Lines go by a 64-bit hash; two different lines with the same hash would count as equal lines.
+Lines go by a 64-bit hash; two different lines with the same hash would count as equal lines. Pairs are counted by
+47-bit hashes of their shingles, and by the shingles themselves where up to two coinciding hashes could change the verdict.
 """
 
 from __future__ import annotations
